@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.strings import match_key, record_code
-from pathloom.llm import bitmaps, components, distinctive, groups, mapping, setjoin
+from pathloom.llm import bitmaps, components, distinctive, groups, mapping, mixing, packing, screening, setjoin
+from pathloom.llm.tokens import with_token_counts
 from pathloom.plans.course_tables import listed_names, packed_values
+from pathloom.runtime import bounded_rows, cut
 from pathloom.sources.tables import table
 
 
@@ -127,4 +129,77 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.connected_groups(links, "left_id", "right_id").select(F.col("group").alias("group_id"), F.col("vertex").alias("skill_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_frequencies, p3_found, p3_mapped, p4_found, p4_pairs, p6_found, p6_groups, p7_found)}
+def _source_key(c: str):
+    """A source as written in mix_targets: lower case, blanks and hyphens read as underscores."""
+    return F.regexp_replace(match_key(c), r"[\s\-_]+", "_")
+
+
+def _token_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """item, source, size of every document; a repeated doc_id counts once."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("item"), _source_key("source").alias("source"), "text")
+    return cut(with_token_counts(docs, "text", "size").dropDuplicates(["item"]))
+
+
+def p8_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """pack_name, pack_id, doc_id, piece, start, n_tokens: the pack of every document or piece, for every capacity."""
+    sizes = _token_sizes(spark, folder)
+    out = None
+    for r in bounded_rows(table(spark, folder, "pack_sizes").where("capacity > 0").distinct(), 1000, "pack_sizes"):
+        part = packing.pack_items(sizes, r["capacity"]).select(F.lit(r["pack_name"]).alias("pack_name"), "pack_id", F.col("item").alias("doc_id"), "piece", "start", F.col("n").alias("n_tokens"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("pack_sizes has no capacity")
+    return out
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """pack_name, capacity, n_packs, n_tokens, fill: how well the packs are filled."""
+    by = p8_packs(spark, folder).groupBy("pack_name").agg(F.count_distinct("pack_id").alias("n_packs"), F.sum("n_tokens").alias("n_tokens"))
+    out = by.join(table(spark, folder, "pack_sizes"), "pack_name")
+    return out.select("pack_name", "capacity", "n_packs", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_packs") * F.col("capacity")), 6).alias("fill"))
+
+
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "mix_targets").select(_source_key("source").alias("source"), "target_share", "max_repeats")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source, n_tokens, repeats, first_slot, reached_share, target_share of the documents used."""
+    mixed = mixing.mix_sources(_token_sizes(spark, folder), _targets(spark, folder))
+    return mixed.select(F.col("item").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "repeats", "first_slot", F.round("reached_share", 6).alias("reached_share"), "target_share")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """source, target_share, reached_share, n_records, tokens, most_repeats for every target."""
+    targets = _targets(spark, folder)
+    return mixing.mix_shares(mixing.mix_sources(_token_sizes(spark, folder), targets), targets)
+
+
+def _screened(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", _source_key("source").alias("source"), "text")
+    return screening.with_abuse_scores(docs, "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _screened(spark, folder).where(F.col("score") >= screening.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source, score, kind of every document."""
+    return _screened(spark, folder).select("doc_id", "source", F.round("score", 6).alias("score"), "kind")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """source, n_docs, n_flagged, rate, mean_score."""
+    return screening.rates(_screened(spark, folder), "source")
+
+
+def p10_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """agreement, n_docs: the scores against the reviewers' sample."""
+    return screening.against_labels(_screened(spark, folder), table(spark, folder, "review_labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_scores, p2_found, p2_frequencies, p3_found, p3_mapped, p4_found, p4_pairs, p6_found, p6_groups, p7_found,
+    p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_agreement,
+)}
