@@ -8,9 +8,9 @@ never visited, and distances are worked out over an inverted index of the pivots
 that no pivot is near to form the far cell; no triangle bound can keep any y out of it, so the far
 cell is entered by shared rare terms alone (prefix filter), which is exact.
 
-Within a cell, pairs meet on one of their rarest terms: two sets of overlap >= t must share one of
-their first |x| - ceil(t |x|) + 1 terms in any common order, here rarest first.  A pair is made
-once, at the first term both prefixes share, sizes are compared before sets are.
+Within a cell, pairs meet on combinations of their rarest terms: of two sets of similarity t or
+more, the m rarest shared terms are among the first |x| - ceil(t |x|) + m of either, in any common
+order, here rarest first.  Sizes are compared before sets are.
 
 Equal sets are one class on each side.  `class_pairs` gives pairs of classes, `members` the class of
 each record, `similar_pairs` the pairs of records.
@@ -44,7 +44,7 @@ def record_sets(terms: DataFrame, record: str, term: str) -> DataFrame:
 
 def set_class(terms: str = "terms") -> Column:
     """Identifier of a set: equal sets bear the same one."""
-    return F.sha1(F.array_join(F.transform(terms, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ","))
+    return F.unhex(F.sha1(F.array_join(F.transform(terms, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ",")))
 
 
 def members(sets: DataFrame) -> DataFrame:
@@ -63,33 +63,75 @@ def by_rarity(one: DataFrame, frequency: DataFrame) -> DataFrame:
     return ordered.select("cls", F.size("s").alias("size"), F.col("s.t").alias("terms"))
 
 
-def prefix(threshold: float) -> Column:
-    """The terms of which two similar sets share at least one."""
-    least = F.ceil(F.col("size") * threshold - EPS)
-    return F.slice("terms", 1, (F.col("size") - least + 1).cast("int"))
+def _least(size, threshold: float) -> Column:
+    """Terms that a set of this size shares at least with any set of the given similarity."""
+    return F.ceil(size * threshold - EPS)
 
 
-def _jaccard_at_least(threshold: float) -> Column:
-    shared = F.size(F.array_intersect("l_terms", "r_terms"))
-    return shared / (F.col("l_size") + F.col("r_size") - shared) >= threshold - EPS
+def _lookup(values: list[int], at: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), F.least(at + 1, F.lit(len(values))))
+
+
+def _hashes(terms: Column, many: int, group: Column) -> Column:
+    """Hashes of all ways to take `many` of the terms in their order."""
+    n = F.size(terms)
+    if many == 1:
+        return F.transform(terms, lambda x: F.xxhash64(group, x))
+
+    def from_(start: Column, end: Column, make):  # sequence() would count down where there is nothing to count
+        return F.when(start <= end, F.transform(F.sequence(start, end), make)).otherwise(F.array())
+
+    if many == 2:
+        pairs = from_(F.lit(1), n - 1, lambda i: from_(i + 1, n, lambda j: F.xxhash64(group, F.get(terms, i - 1), F.get(terms, j - 1))))
+        return F.flatten(pairs)
+    triples = from_(F.lit(1), n - 2, lambda i: F.flatten(from_(i + 1, n - 1, lambda j: from_(j + 1, n, lambda k: F.xxhash64(group, F.get(terms, i - 1), F.get(terms, j - 1), F.get(terms, k - 1))))))
+    return F.flatten(triples)
+
+
+# How many rare terms a key has, by the binary logarithm of the smaller set's size: few for large
+# sets, whose combinations would be many while their rarest terms are rare anyway.
+KEY_TERMS = [1, 2, 3, 3, 3, 2, 1]
+
+
+def rare_keys(side: DataFrame, threshold: float, cells: list[str]) -> DataFrame:
+    """cells, cls, size, key: what a set meets others on.
+
+    Sets are grouped by the binary logarithm g of the smaller size of a pair; a set is in the group
+    of its own size and, if a similar set may be that much smaller, in the one below.  In group g keys
+    are combinations of m = KEY_TERMS[g] terms out of the first |x| - ceil(t |x|) + m, which hold the
+    m rarest terms that two similar sets share."""
+    band = F.floor(F.log2(F.col("size")) + EPS).cast("int")
+    lower = (band > 0) & (_least(F.col("size"), threshold) < F.pow(F.lit(2), band))
+    rows = side.withColumn("g", F.explode(F.when(lower, F.array(band, band - 1)).otherwise(F.array(band))))
+    many = F.least(_lookup(KEY_TERMS, F.col("g")), _least(F.pow(F.lit(2), F.col("g")), threshold).cast("int"))
+    head = F.slice("terms", 1, (F.col("size") - _least(F.col("size"), threshold)).cast("int") + F.col("m"))
+    rows = rows.withColumn("m", many).withColumn("head", head)
+    keys = F.when(F.col("m") == 1, _hashes(F.col("head"), 1, F.col("g"))).when(F.col("m") == 2, _hashes(F.col("head"), 2, F.col("g"))).otherwise(_hashes(F.col("head"), 3, F.col("g")))
+    return rows.select(*cells, "cls", "size", F.explode(keys).alias("key"))
 
 
-def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float, *, cells: list[str] | None = None, below: bool = False) -> DataFrame:
-    """l_cls, r_cls, similarity of all pairs of at least `threshold` that share their `cells`.
+def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float, *, cells: list[str] | None = None, below: bool = False, sets: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """l_cls, r_cls, similarity of all pairs of at least `threshold` (above one half) that share their
+    `cells`; a pair of classes may share one cell only.
 
-    Sides have cls, size, terms (rarest first) and the cell columns.  `below` keeps l_cls < r_cls
-    only, for a join of a table with itself."""
-    keys = [*(cells or []), "t"]
-    l = left.select(*(cells or []), F.col("cls").alias("l_cls"), F.col("size").alias("l_size"), F.col("terms").alias("l_terms"), prefix(threshold).alias("l_prefix"))
-    r = right.select(*(cells or []), F.col("cls").alias("r_cls"), F.col("size").alias("r_size"), F.col("terms").alias("r_terms"), prefix(threshold).alias("r_prefix"))
-    l, r = l.withColumn("t", F.explode("l_prefix")), r.withColumn("t", F.explode("r_prefix"))
+    Sides have cls, size, terms (rarest first) and the cell columns.  Keys travel without the sets;
+    candidates of fitting size are made distinct, then fetch both sets and are verified.  `below`
+    keeps l_cls < r_cls only, for a join of a table with itself; `sets` are the sides with one row per
+    class, where cells replicate them."""
+    if threshold <= 0.5:
+        raise ValueError("the threshold must be above one half")
+    cells = cells or []
+    l = rare_keys(left, threshold, cells).select(*cells, "key", F.col("cls").alias("l_cls"), F.col("size").alias("l_size"))
+    r = rare_keys(right, threshold, cells).select(*cells, "key", F.col("cls").alias("r_cls"), F.col("size").alias("r_size"))
     near = (F.col("l_size") >= threshold * F.col("r_size") - EPS) & (F.col("r_size") >= threshold * F.col("l_size") - EPS)
     if below:
         near &= F.col("l_cls") < F.col("r_cls")
-    once = F.array_intersect("l_prefix", "r_prefix")[0] == F.col("t")
+    met = l.join(r, [*cells, "key"]).where(near).select("l_cls", "r_cls").distinct()
+    l, r = (side.select(F.col("cls").alias(f"{n}_cls"), F.col("terms").alias(f"{n}_terms")) for n, side in zip("lr", sets or (left, right)))
     shared = F.size(F.array_intersect("l_terms", "r_terms"))
-    pairs = l.join(r, keys).where(near).where(once).where(_jaccard_at_least(threshold))
-    return pairs.select("l_cls", "r_cls", (shared / (F.col("l_size") + F.col("r_size") - shared)).alias("similarity"))
+    pairs = met.join(l, "l_cls").join(r, "r_cls")
+    pairs = pairs.withColumn("similarity", shared / (F.size("l_terms") + F.size("r_terms") - shared))
+    return pairs.where(F.col("similarity") >= threshold - EPS).select("l_cls", "r_cls", "similarity")
 
 
 class Pivots:
@@ -164,12 +206,12 @@ def class_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, *, pi
         raise ValueError("ring + (1 - threshold) must stay below 1, or disjoint pivots could not be ruled out")
     both = left.select("terms").unionAll(right.select("terms"))
     frequency = both.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    left, right = by_rarity(left, frequency), cut(by_rarity(right, frequency))
+    left, right = cut(by_rarity(left, frequency)), cut(by_rarity(right, frequency))
     chosen = choose_pivots(right, pivots)
     assigned = cut(nearest_cell(right, chosen, ring))
     found = assigned.where("cell >= 0").groupBy("cell").agg(F.max("d").alias("radius")).collect()  # at most one row per pivot
     radius = {r["cell"]: r["radius"] for r in found}
-    return prefix_pairs(visited_cells(left, chosen, radius, theta), assigned, threshold, cells=["cell"])
+    return prefix_pairs(visited_cells(left, chosen, radius, theta), assigned, threshold, cells=["cell"], sets=(left, right))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
