@@ -5,7 +5,7 @@ components form groups, and loose groups (whose members are not all similar to o
 split around medoids, highest degree first.  Clusters are described by size and most typical members.
 
 Equal sets are one class, so copies never meet in a bucket.  A bucket of at most `bucket_cap`
-classes is joined with itself; classes of a larger bucket take part in one exact prefix-filter
+classes is joined with itself, behind an exact test on sizes and 256-bit masks of the sets; classes of a larger bucket take part in one exact prefix-filter
 join instead, so no pair is lost to the cap and none is made quadratically.
 
 Defined results: records without terms belong to no group; a record that is similar to no other
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm.components import connected_groups
-from pathloom.llm.setjoin import EPS, by_rarity, prefix_pairs, record_sets, set_class
+from pathloom.llm.setjoin import EPS, MASKS, by_rarity, may_be_similar, prefix_pairs, record_sets, set_class
 from pathloom.runtime import cut
 
 BANDS, ROWS = 28, 8  # at a similarity of 0.8 a pair meets in some band with probability 0.994
-BUCKET_CAP = 512
+BUCKET_CAP = 4096
 STATIC_ROUNDS = 16
 
 
@@ -41,12 +41,12 @@ def numbered_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def band_keys(one: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """cls, set (sorted 64-bit hashes of the terms), band, key."""
+    """cls, size, masks, band, key of every class."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
     mix = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
-    fields = "cls bigint, set array<bigint>, band int, key bigint"
+    fields = f"cls bigint, size int, {', '.join(f'{m} bigint' for m in MASKS)}, band int, key bigint"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -55,15 +55,21 @@ def band_keys(one: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int =
                 sets = batch.column("set")
                 offsets = sets.offsets.to_numpy()
                 h = sets.flatten().to_numpy().view(np.uint64)
+                begins = offsets[:-1] - offsets[0]
+                bit = h & np.uint64(255)
+                one_bit = np.uint64(1) << (bit & np.uint64(63))
+                masks = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == w, one_bit, np.uint64(0)), begins).view(np.int64) for w in range(len(MASKS))]
                 h = h ^ (h >> np.uint64(29))
                 low = np.empty((len(sets), bands * rows), np.uint64)
                 for k in range(bands * rows):
-                    low[:, k] = np.minimum.reduceat((h * mult[k] + add[k]) >> np.uint64(16), offsets[:-1] - offsets[0])
+                    low[:, k] = np.minimum.reduceat((h * mult[k] + add[k]) >> np.uint64(16), begins)
                 n = len(sets)
                 keys = (low.reshape(n, bands, rows) * mix).sum(axis=2, dtype=np.uint64)
                 keys = (keys ^ (keys >> np.uint64(31))).view(np.int64)
                 at = pa.array(np.repeat(np.arange(n), bands))
-                yield pa.RecordBatch.from_arrays([batch.column("cls").take(at), sets.take(at), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.reshape(-1))], names=["cls", "set", "band", "key"])
+                size = np.repeat(np.diff(offsets).astype(np.int32), bands)
+                rows_ = [batch.column("cls").take(at), pa.array(size), *(pa.array(np.repeat(m, bands)) for m in masks), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.reshape(-1))]
+                yield pa.RecordBatch.from_arrays(rows_, names=["cls", "size", *MASKS, "band", "key"])
 
     hashed = one.select("cls", F.array_sort(F.transform("terms", lambda x: F.xxhash64(x))).alias("set"))
     return hashed.mapInArrow(sign, T.StructType.fromDDL(fields))
@@ -74,13 +80,15 @@ def similar_class_pairs(one: DataFrame, threshold: float = 0.8, *, bands: int =
     keyed = band_keys(one, bands, rows)
     sizes = cut(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     fair = keyed.join(sizes.where(F.col("m") <= bucket_cap).drop("m"), ["band", "key"])
-    l = fair.select("band", "key", F.col("cls").alias("l"), F.col("set").alias("ls"))
-    r = fair.select("band", "key", F.col("cls").alias("r"), F.col("set").alias("rs"))
-    a, b = F.size("ls"), F.size("rs")
+    own = ["cls", "size", *MASKS]
+    l = fair.select("band", "key", *(F.col(c).alias(f"l_{c}") for c in own))
+    r = fair.select("band", "key", *(F.col(c).alias(f"r_{c}") for c in own))
+    met = l.join(r, ["band", "key"]).where("l_cls < r_cls").where(may_be_similar(threshold)).select("l_cls", "r_cls").distinct()
+    sets = one.select("cls", "terms")
+    met = met.join(sets.toDF("l_cls", "ls"), "l_cls").join(sets.toDF("r_cls", "rs"), "r_cls")
     shared = F.size(F.array_intersect("ls", "rs"))
-    met = l.join(r, ["band", "key"]).where("l < r").where((a >= threshold * b - EPS) & (b >= threshold * a - EPS))
-    met = met.withColumn("similarity", shared / (a + b - shared)).where(F.col("similarity") >= threshold - EPS)
-    pairs = met.select("l", "r", "similarity")
+    met = met.withColumn("similarity", shared / (F.size("ls") + F.size("rs") - shared)).where(F.col("similarity") >= threshold - EPS)
+    pairs = met.select(F.col("l_cls").alias("l"), F.col("r_cls").alias("r"), "similarity")
     crowded = keyed.join(sizes.where(F.col("m") > bucket_cap).drop("m"), ["band", "key"]).select("cls").distinct()
     rest = one.join(crowded, "cls", "left_semi").select("cls", "terms")
     frequency = rest.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))

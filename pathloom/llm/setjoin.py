@@ -10,7 +10,8 @@ cell is entered by shared rare terms alone (prefix filter), which is exact.
 
 Within a cell, pairs meet on combinations of their rarest terms: of two sets of similarity t or
 more, the m rarest shared terms are among the first |x| - ceil(t |x|) + m of either, in any common
-order, here rarest first.  Sizes are compared before sets are.
+order, here rarest first.  Sizes and 256-bit masks of the sets are compared before sets are; both
+tests are exact.
 
 Equal sets are one class on each side.  `class_pairs` gives pairs of classes, `members` the class of
 each record, `similar_pairs` the pairs of records.
@@ -56,11 +57,31 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.select(set_class().alias("cls"), "terms").groupBy("cls").agg(F.any_value("terms").alias("terms"))
 
 
+MASKS = ["m0", "m1", "m2", "m3"]  # a set as 256 bits, each term setting one of them
+
+
+def mask_of(term: Column, word: int) -> Column:
+    """The bit of a term in one of the four words of a mask."""
+    bit = F.pmod(F.xxhash64(term), F.lit(256))
+    return F.when(F.floor(bit / 64) == word, F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+
+
+def may_be_similar(threshold: float, left: str = "l_", right: str = "r_") -> Column:
+    """Exact test on sizes and masks that no pair of the threshold fails.
+
+    Bits that differ are at most the terms that differ, and two sets of similarity t differ in at most
+    (1 - t) / (1 + t) * (|x| + |y|) terms."""
+    x, y = F.col(f"{left}size"), F.col(f"{right}size")
+    differ = sum((F.bit_count(F.col(left + m).bitwiseXOR(F.col(right + m))) for m in MASKS), F.lit(0))
+    return (x >= threshold * y - EPS) & (y >= threshold * x - EPS) & (differ <= (x + y) * ((1 - threshold) / (1 + threshold)) + EPS)
+
+
 def by_rarity(one: DataFrame, frequency: DataFrame) -> DataFrame:
-    """cls, size, terms with terms rarest first (ties by the term)."""
+    """cls, size, terms with terms rarest first (ties by the term), and the set's masks."""
     rows = one.select("cls", F.explode("terms").alias("t")).join(frequency, "t")
-    ordered = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
-    return ordered.select("cls", F.size("s").alias("size"), F.col("s.t").alias("terms"))
+    masks = [F.bit_or(mask_of(F.col("t"), w)).alias(m) for w, m in enumerate(MASKS)]
+    ordered = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"), *masks)
+    return ordered.select("cls", F.size("s").alias("size"), F.col("s.t").alias("terms"), *MASKS)
 
 
 def _least(size, threshold: float) -> Column:
@@ -94,7 +115,7 @@ KEY_TERMS = [1, 2, 3, 3, 3, 2, 1]
 
 
 def rare_keys(side: DataFrame, threshold: float, cells: list[str]) -> DataFrame:
-    """cells, cls, size, key: what a set meets others on.
+    """cells, cls, size, masks, key: what a set meets others on.
 
     Sets are grouped by the binary logarithm g of the smaller size of a pair; a set is in the group
     of its own size and, if a similar set may be that much smaller, in the one below.  In group g keys
@@ -107,23 +128,25 @@ def rare_keys(side: DataFrame, threshold: float, cells: list[str]) -> DataFrame:
     head = F.slice("terms", 1, (F.col("size") - _least(F.col("size"), threshold)).cast("int") + F.col("m"))
     rows = rows.withColumn("m", many).withColumn("head", head)
     keys = F.when(F.col("m") == 1, _hashes(F.col("head"), 1, F.col("g"))).when(F.col("m") == 2, _hashes(F.col("head"), 2, F.col("g"))).otherwise(_hashes(F.col("head"), 3, F.col("g")))
-    return rows.select(*cells, "cls", "size", F.explode(keys).alias("key"))
+    return rows.select(*cells, "cls", "size", *MASKS, F.explode(keys).alias("key"))
 
 
 def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float, *, cells: list[str] | None = None, below: bool = False, sets: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """l_cls, r_cls, similarity of all pairs of at least `threshold` (above one half) that share their
     `cells`; a pair of classes may share one cell only.
 
-    Sides have cls, size, terms (rarest first) and the cell columns.  Keys travel without the sets;
-    candidates of fitting size are made distinct, then fetch both sets and are verified.  `below`
+    Sides have cls, size, terms (rarest first), masks and the cell columns.  Keys travel with the masks
+    instead of the sets; candidates that pass them are made distinct, then fetch both sets and are
+    verified.  `below`
     keeps l_cls < r_cls only, for a join of a table with itself; `sets` are the sides with one row per
     class, where cells replicate them."""
     if threshold <= 0.5:
         raise ValueError("the threshold must be above one half")
     cells = cells or []
-    l = rare_keys(left, threshold, cells).select(*cells, "key", F.col("cls").alias("l_cls"), F.col("size").alias("l_size"))
-    r = rare_keys(right, threshold, cells).select(*cells, "key", F.col("cls").alias("r_cls"), F.col("size").alias("r_size"))
-    near = (F.col("l_size") >= threshold * F.col("r_size") - EPS) & (F.col("r_size") >= threshold * F.col("l_size") - EPS)
+    own = ["cls", "size", *MASKS]
+    l = rare_keys(left, threshold, cells).select(*cells, "key", *(F.col(c).alias(f"l_{c}") for c in own))
+    r = rare_keys(right, threshold, cells).select(*cells, "key", *(F.col(c).alias(f"r_{c}") for c in own))
+    near = may_be_similar(threshold)
     if below:
         near &= F.col("l_cls") < F.col("r_cls")
     met = l.join(r, [*cells, "key"]).where(near).select("l_cls", "r_cls").distinct()
