@@ -92,8 +92,9 @@ def _edges(df: DataFrame, src: Column, dst: Column, weight: Column, kind: str) -
 
 def build_graph(courses: DataFrame, jobs: DataFrame, students: DataFrame, skills: DataFrame) -> CareerGraph:
     """All nodes and edges.  Every kind of edge is its own plan of equi-joins and partial aggregates."""
+    cs = course_skill(courses, jobs, skills)  # documents without a title count, too
     jobs = jobs.where("title is not null")
-    cs, ks = course_skill(courses, jobs, skills), career_skill(jobs, skills)
+    ks = career_skill(jobs, skills)
     taken = student_course(students, courses)
     ss = student_skill(taken, cs)
     w = F.col("weight")

@@ -41,15 +41,17 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, max_it
     p = cut(transition(edges)).repartition("src").persist()
     seeds = cut(seeds.select("seed", "id", "p"))
     bound = None if tol is None else tol * (n_nodes or max(1, edges.select("src").union(edges.select("dst")).distinct().count()))
-    sources = p.select(F.col("src").alias("id")).distinct()
+    back = seeds.groupBy("seed").agg(F.collect_list(F.struct("id", "p")).alias("home"))  # the few nodes a seed teleports to
+    jump = seeds.select("seed", "id", (F.lit(1 - alpha) * F.col("p")).alias("m"))
     r = seeds.select("seed", "id", F.col("p").alias("score"))
     since, last = 0, r
     for k in range(1, max_iter + 1):
-        moved = r.join(p, r["id"] == p["src"]).groupBy("seed", "dst").agg(F.sum(F.col("score") * F.col("t")).alias("m"))
-        moved = moved.select("seed", F.col("dst").alias("id"), "m")
-        dangling = r.join(sources, "id", "left_anti").groupBy("seed").agg(F.sum("score").alias("d"))
-        base = seeds.join(dangling, "seed", "left").select("seed", "id", (F.lit(alpha) * F.coalesce("d", F.lit(0.0)) * F.col("p") + F.lit(1 - alpha) * F.col("p")).alias("m"))
-        r = moved.select("seed", "id", (F.lit(alpha) * F.col("m")).alias("m")).unionAll(base).groupBy("seed", "id").agg(F.sum("m").alias("score"))
+        # one use of r a round: a node without targets sends its score home
+        out = r.join(p, r["id"] == p["src"], "left").select("seed", "score", "dst", "t").join(back, "seed")
+        home = F.transform("home", lambda x: F.struct(x["id"].alias("id"), (F.col("score") * x["p"]).alias("m")))
+        sent = F.when(F.col("dst").isNull(), home).otherwise(F.array(F.struct(F.col("dst").alias("id"), (F.col("score") * F.col("t")).alias("m"))))
+        moved = out.select("seed", F.explode(sent).alias("x")).select("seed", "x.id", (F.lit(alpha) * F.col("x.m")).alias("m"))
+        r = moved.unionAll(jump).groupBy("seed", "id").agg(F.sum("m").alias("score"))
         since += 1
         if since == CUT_EVERY or k == max_iter:
             r, since = cut(r), 0
