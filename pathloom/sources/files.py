@@ -19,7 +19,10 @@ TIMETABLE_COLUMNS = {
     "Course Code": "course_code", "Course Title & Session": "title_session", "Offering Unit": "offering_unit", "Offering Programme": "offering_programme",
     "Units": "units", "Class Schedule": "schedule", "Classroom": "classroom", "Teachers": "teacher", "Course Requirements": "requirements",
 }
-POSTING_SCHEMA = T.StructType.fromDDL("job_id string, title string, description string, normalized_salary double, location string, formatted_experience_level string, listed_time bigint")
+POSTING_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("job_id", "title", "description")]
+    + [T.StructField("normalized_salary", T.DoubleType()), T.StructField("location", T.StringType()), T.StructField("formatted_experience_level", T.StringType()), T.StructField("listed_time", T.LongType())]
+)
 
 
 def clean_timetable(raw: DataFrame, columns: dict[str, str] = TIMETABLE_COLUMNS) -> DataFrame:
