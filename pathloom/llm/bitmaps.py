@@ -59,17 +59,15 @@ def term_bitmaps(rows: DataFrame, *, record: str, term: str, weight: str | None
     """term, chunk, bits, occurrences, weight: the compressed bitmaps.
 
     Repeated rows are folded before the shuffle by record, so a record that makes up a third of
-    the input is one row by then."""
+    the input is one row by then.  With `partitions` given, the same records have the same numbers
+    in every run, so that bitmaps can be merged."""
     w = F.lit(0.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     rows = rows.select(F.col(record).cast("string").alias("r"), F.col(term).alias("t"), w.alias("w"))
     rows = rows.where("r is not null and t is not null").distinct()
     rows = rows.repartition(partitions, "r") if partitions else rows.repartition("r")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        high = TaskContext.get().partitionId() << 40  # the number of a record: partition, then order of its first row
-        number, base = {}, 0
+        high, last, base = None, None, 0  # the number of a record: its partition, then the order of its first row
         open_: dict[tuple[str, int], list] = {}
 
         def drain(upto: int | None):
@@ -84,9 +82,10 @@ def term_bitmaps(rows: DataFrame, *, record: str, term: str, weight: str | None
                 ], names=[f.name for f in _POSTINGS])
 
         for batch in batches:  # sorted by record: a chunk is complete once the next one begins
-            for r, t, x in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if number.get("last") != r:
-                    number["last"] = r
+            for r, t, x, p in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                high = p << 40 if high is None else high
+                if last != r:
+                    last = r
                     base += 1
                     if base & 0xFFFF == 1 and base > 1:
                         yield from drain((high + base - 1) >> CHUNK_BITS)
@@ -97,7 +96,8 @@ def term_bitmaps(rows: DataFrame, *, record: str, term: str, weight: str | None
                 slot[2] += x
         yield from drain(None)
 
-    return rows.sortWithinPartitions("r").mapInArrow(build, _POSTINGS)
+    numbered = rows.sortWithinPartitions("r").withColumn("p", F.spark_partition_id().cast("bigint"))
+    return numbered.mapInArrow(build, _POSTINGS)
 
 
 def term_frequencies(rows: DataFrame, *, record: str, term: str, weight: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def merge(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A group is the containers of one term and chunk, two at most."""
 
-    def fold(key, table: pa.Table) -> pa.Table:
+    def fold(table: pa.Table) -> pa.Table:
         bits = union([b for b in table.column("bits").to_pylist()])
         total = [sum(table.column(c).to_pylist()) for c in ("occurrences", "weight")]
         return pa.table([[table.column("term")[0].as_py()], [table.column("chunk")[0].as_py()], pa.array([bits], pa.binary()), *[[x] for x in total]], names=table.column_names)
