@@ -33,7 +33,12 @@ def map_values(values: DataFrame, entries: DataFrame, *, value: str = "val", max
             found = [matcher.find(v) for v in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([texts, pa.array([i for i, _ in found], pa.int32()), pa.array([h for _, h in found], pa.string())], names=[value, "entry_id", "how"])
 
-    return values.select(value).where(F.col(value).isNotNull()).distinct().mapInArrow(find, schema)
+    spark = values.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    distinct = values.select(value).where(F.col(value).isNotNull()).distinct()
+    # matching is the work, so it is not left to few tasks; by a hash, as a repartition by the value
+    # itself would be taken for the one of distinct() and coalesced like it
+    return distinct.repartition(spread, F.xxhash64(value)).mapInArrow(find, schema)
 
 
 def mapped(rows: DataFrame, entries: DataFrame, *, value: str = "val", max_entries: int = MAX_ENTRIES) -> DataFrame:
