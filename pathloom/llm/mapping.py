@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.mentions import Mentions
-from pathloom.runtime import bounded_rows
+from pathloom.llm.mentions import OWN_SHARE, OWN_VALUES, Mentions, plain
+from pathloom.runtime import bounded_rows, keep
 
 MAX_ENTRIES = 100_000
 
@@ -25,20 +25,51 @@ def map_values(values: DataFrame, entries: DataFrame, *, value: str = "val", max
     listed = [(r["id"], r["name"], list(r["aliases"] or [])) for r in bounded_rows(entries.select("id", "name", "aliases"), max_entries, "the reference list")]
     schema = T.StructType([T.StructField(value, T.StringType()), T.StructField("entry_id", T.IntegerType()), T.StructField("how", T.StringType())])
 
+    spark = values.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    distinct = values.select(value).where(F.col(value).isNotNull()).distinct()
+    # matching is the work, so it is not left to few tasks; by a hash, as a repartition by the value
+    # itself would be taken for the one of distinct() and coalesced like it
+    distinct = keep(distinct.repartition(spread, F.xxhash64(value)))
+    own = own_words(distinct, listed, value)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None
         for batch in batches:
-            matcher = matcher or Mentions(listed)
+            matcher = matcher or Mentions(listed, own)
             texts = batch.column(0)
             found = [matcher.find(v) for v in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([texts, pa.array([i for i, _ in found], pa.int32()), pa.array([h for _, h in found], pa.string())], names=[value, "entry_id", "how"])
 
-    spark = values.sparkSession
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    distinct = values.select(value).where(F.col(value).isNotNull()).distinct()
-    # matching is the work, so it is not left to few tasks; by a hash, as a repartition by the value
-    # itself would be taken for the one of distinct() and coalesced like it
-    return distinct.repartition(spread, F.xxhash64(value)).mapInArrow(find, schema)
+    return distinct.mapInArrow(find, schema)
+
+
+def own_words(distinct: DataFrame, listed: list, value: str) -> frozenset[str]:
+    """Words of the values that look like misspellings of a listed word but are words of their own.
+
+    Counted over all distinct values.  At most 1 / OWN_SHARE words per word of the list can pass, so
+    what comes to the driver is bounded by the list."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [w for v in batch.column(0).to_pylist() for w in set(plain(v).split())]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["word"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = None
+        for batch in batches:
+            matcher = matcher or Mentions(listed)
+            seen = [matcher.look_alike(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x and x[0] for x in seen], pa.string()), pa.array([x and x[1] for x in seen], pa.int32())], names=["word", "n", "target", "edits"])
+
+    counts = distinct.mapInArrow(words, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    seen = keep(counts.mapInArrow(look, "word string, n bigint, target string, edits int").where("target is not null"))
+    totals = seen.groupBy("target").agg(F.sum("n").alias("all"))
+    frequent = seen.where((F.col("edits") >= 2) & (F.col("n") >= OWN_VALUES))
+    own = frequent.join(totals, "target").where(F.col("n") >= OWN_SHARE * F.col("all"))
+    found = frozenset(r[0] for r in own.select("word").collect())
+    seen.unpersist()
+    return found
 
 
 def mapped(rows: DataFrame, entries: DataFrame, *, value: str = "val", max_entries: int = MAX_ENTRIES) -> DataFrame:

@@ -30,12 +30,16 @@ LOOKALIKE = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b
 WHOLE_ONLY = 6  # an alias of at most so many letters names an entry only as the whole value
 MIN_TOKEN_SIMILARITY = 0.6
 MIN_SET_SIMILARITY = 0.7
+SAME_START = 0.01  # of two equally near words, the one with the same first letter is meant
+# A word two or more edits from a word of the list is a word of its own if so many values hold it and
+# it makes up such a share of all that looks like that word: one misspelling of many is rarer.
+OWN_VALUES, OWN_SHARE = 8, 0.05
 
 
 def plain(text: str) -> str:
-    """Lower case without accents; every sign but letters and digits is a blank; blanks are single."""
+    """Lower case without accents, ph read as f; every sign but letters and digits is a blank; blanks are single."""
     text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
+    text = "".join(c for c in text if not unicodedata.combining(c)).casefold().replace("ph", "f")
     return re.sub(r"[\W_]+", " ", text).strip()
 
 
@@ -88,9 +92,12 @@ def derived_aliases(name: str) -> list[str]:
 
 
 class Mentions:
-    """Names and aliases compiled once; `find` maps one value."""
+    """Names and aliases compiled once; `find` maps one value.
 
-    def __init__(self, entries: list[tuple[int, str, list[str]]]):
+    `own_words` are words known to be no misspellings although they look like ones."""
+
+    def __init__(self, entries: list[tuple[int, str, list[str]]], own_words: frozenset[str] = frozenset()):
+        self.own_words = own_words
         self.names = sorted({(i, n) for i, n, _ in entries if i is not None and n})
         patterns: dict[str, set[int]] = defaultdict(set)
         for i, n, aliases in entries:
@@ -135,6 +142,13 @@ class Mentions:
         w = f"^{word}$"
         return {w[k : k + 2] for k in range(len(w) - 1)}
 
+    def look_alike(self, word: str) -> tuple[str, int] | None:
+        """The word of the list that a word not in it would be taken for, and how many edits they are apart."""
+        if word in self.tokens or word in DRESSING or not (near := self._near(word)):
+            return None
+        target = max(near, key=lambda x: (x[1], x[0]))[0]
+        return target, distance(word, target, allowed_edits(len(word)))
+
     def find(self, value: str | None) -> tuple[int, str]:
         """(id, how); id -1 if the value names no entry. how: name, alias, mention, similar or none."""
         if value is None or not self.patterns:
@@ -190,6 +204,8 @@ class Mentions:
             return got
         if word in self.tokens:  # a word of the list is no misspelling of another one
             return [(word, 1.0)]
+        if word in self.own_words:
+            return []
         most = allowed_edits(len(word))
         counts: dict[str, int] = defaultdict(int)
         for g in self._grams(word):
@@ -198,7 +214,7 @@ class Mentions:
         out = []
         for w, c in counts.items():
             if c >= max(1, len(word) + 1 - 3 * most) and (d := distance(word, w, most)) <= most:
-                out.append((w, 1 - d / max(len(w), len(word))))
+                out.append((w, 1 - d / max(len(w), len(word)) + SAME_START * (w[0] == word[0])))
         out = [x for x in out if x[1] >= MIN_TOKEN_SIMILARITY]
         if len(self.memo) < 200_000:
             self.memo[word] = out
@@ -223,7 +239,7 @@ class Mentions:
                 found.append((shared / size, -i))
         # a blank lost, gained or misplaced, or one word badly misspelt: compare the letters run together
         run = "".join(words)
-        if len(run) >= 6 and not all(w in self.tokens for w in words):
+        if len(run) >= 6 and not all(w in self.tokens for w in words) and not any(w in self.own_words for w in words):
             most = 3 if len(run) > 11 else 2 if len(run) > 8 else 1
             counts: dict[str, int] = defaultdict(int)
             for g in self._grams(run):

@@ -109,6 +109,14 @@ def test_mapped_rows(spark):
         mapping.mapped(rows, entries, max_entries=2)
 
 
+def test_own_words(spark):
+    """A word that many values share is no misspelling; one that occurs now and then is."""
+    entries = frame(spark, [(1, "Rural Welding", []), (2, "Naval Welding", [])], "id int, name string, aliases array<string>")
+    rows = frame(spark, [(f"{a} Weddings",) for a in ("Rural", "Naval", "Blue", "Green", "Old", "New", "Big", "Small", "Odd")] + [("Rural Weldingss",), ("Naval Wleidng",)], "val string")
+    got = {r["val"]: r["entry_id"] for r in mapping.map_values(rows, entries).collect()}
+    assert got["Rural Weddings"] == got["Naval Weddings"] == -1 and got["Rural Weldingss"] == 1 and got["Naval Wleidng"] == 2
+
+
 # ---- 4
 
 
