@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm.components import connected_groups
-from pathloom.llm.setjoin import EPS, MASKS, by_rarity, may_be_similar, prefix_pairs, record_sets, set_class
+from pathloom.llm.setjoin import record_sets, set_class
+from pathloom.operators.overlap import EPS, MASKS, by_rarity, may_be_similar, prefix_pairs
 from pathloom.runtime import cut
 
 BANDS, ROWS = 28, 8  # at a similarity of 0.8 a pair meets in some band with probability 0.994

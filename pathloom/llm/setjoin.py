@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.operators.overlap import EPS, by_rarity, prefix_pairs
 from pathloom.runtime import cut
 
-EPS = 1e-9
 PIVOTS = 1024
 PIVOT_TERMS = 4096  # only sets of at most so many terms are made pivots
 
@@ -57,106 +57,6 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.select(set_class().alias("cls"), "terms").groupBy("cls").agg(F.any_value("terms").alias("terms"))
 
 
-MASKS = ["m0", "m1", "m2", "m3"]  # a set as 256 bits, each term setting one of them
-
-
-def mask_of(term: Column, word: int) -> Column:
-    """The bit of a term in one of the four words of a mask."""
-    bit = F.pmod(F.xxhash64(term), F.lit(256))
-    return F.when(F.floor(bit / 64) == word, F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-
-
-def may_be_similar(threshold: float, left: str = "l_", right: str = "r_") -> Column:
-    """Exact test on sizes and masks that no pair of the threshold fails.
-
-    Bits that differ are at most the terms that differ, and two sets of similarity t differ in at most
-    (1 - t) / (1 + t) * (|x| + |y|) terms."""
-    x, y = F.col(f"{left}size"), F.col(f"{right}size")
-    differ = sum((F.bit_count(F.col(left + m).bitwiseXOR(F.col(right + m))) for m in MASKS), F.lit(0))
-    return (x >= threshold * y - EPS) & (y >= threshold * x - EPS) & (differ <= (x + y) * ((1 - threshold) / (1 + threshold)) + EPS)
-
-
-def by_rarity(one: DataFrame, frequency: DataFrame) -> DataFrame:
-    """cls, size, terms with terms rarest first (ties by the term), and the set's masks."""
-    rows = one.select("cls", F.explode("terms").alias("t")).join(frequency, "t")
-    masks = [F.bit_or(mask_of(F.col("t"), w)).alias(m) for w, m in enumerate(MASKS)]
-    ordered = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"), *masks)
-    return ordered.select("cls", F.size("s").alias("size"), F.col("s.t").alias("terms"), *MASKS)
-
-
-def _least(size, threshold: float) -> Column:
-    """Terms that a set of this size shares at least with any set of the given similarity."""
-    return F.ceil(size * threshold - EPS)
-
-
-def _lookup(values: list[int], at: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), F.least(at + 1, F.lit(len(values))))
-
-
-def _hashes(terms: Column, many: int, group: Column) -> Column:
-    """Hashes of all ways to take `many` of the terms in their order."""
-    n = F.size(terms)
-    if many == 1:
-        return F.transform(terms, lambda x: F.xxhash64(group, x))
-
-    def from_(start: Column, end: Column, make):  # sequence() would count down where there is nothing to count
-        return F.when(start <= end, F.transform(F.sequence(start, end), make)).otherwise(F.array())
-
-    if many == 2:
-        pairs = from_(F.lit(1), n - 1, lambda i: from_(i + 1, n, lambda j: F.xxhash64(group, F.get(terms, i - 1), F.get(terms, j - 1))))
-        return F.flatten(pairs)
-    triples = from_(F.lit(1), n - 2, lambda i: F.flatten(from_(i + 1, n - 1, lambda j: from_(j + 1, n, lambda k: F.xxhash64(group, F.get(terms, i - 1), F.get(terms, j - 1), F.get(terms, k - 1))))))
-    return F.flatten(triples)
-
-
-# How many rare terms a key has, by the binary logarithm of the smaller set's size: few for large
-# sets, whose combinations would be many while their rarest terms are rare anyway.
-KEY_TERMS = [1, 2, 3, 3, 3, 2, 1]
-
-
-def rare_keys(side: DataFrame, threshold: float, cells: list[str]) -> DataFrame:
-    """cells, cls, size, masks, key: what a set meets others on.
-
-    Sets are grouped by the binary logarithm g of the smaller size of a pair; a set is in the group
-    of its own size and, if a similar set may be that much smaller, in the one below.  In group g keys
-    are combinations of m = KEY_TERMS[g] terms out of the first |x| - ceil(t |x|) + m, which hold the
-    m rarest terms that two similar sets share."""
-    band = F.floor(F.log2(F.col("size")) + EPS).cast("int")
-    lower = (band > 0) & (_least(F.col("size"), threshold) < F.pow(F.lit(2), band))
-    rows = side.withColumn("g", F.explode(F.when(lower, F.array(band, band - 1)).otherwise(F.array(band))))
-    many = F.least(_lookup(KEY_TERMS, F.col("g")), _least(F.pow(F.lit(2), F.col("g")), threshold).cast("int"))
-    head = F.slice("terms", 1, (F.col("size") - _least(F.col("size"), threshold)).cast("int") + F.col("m"))
-    rows = rows.withColumn("m", many).withColumn("head", head)
-    keys = F.when(F.col("m") == 1, _hashes(F.col("head"), 1, F.col("g"))).when(F.col("m") == 2, _hashes(F.col("head"), 2, F.col("g"))).otherwise(_hashes(F.col("head"), 3, F.col("g")))
-    return rows.select(*cells, "cls", "size", *MASKS, F.explode(keys).alias("key"))
-
-
-def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float, *, cells: list[str] | None = None, below: bool = False, sets: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """l_cls, r_cls, similarity of all pairs of at least `threshold` (above one half) that share their
-    `cells`; a pair of classes may share one cell only.
-
-    Sides have cls, size, terms (rarest first), masks and the cell columns.  Keys travel with the masks
-    instead of the sets; candidates that pass them are made distinct, then fetch both sets and are
-    verified.  `below`
-    keeps l_cls < r_cls only, for a join of a table with itself; `sets` are the sides with one row per
-    class, where cells replicate them."""
-    if threshold <= 0.5:
-        raise ValueError("the threshold must be above one half")
-    cells = cells or []
-    own = ["cls", "size", *MASKS]
-    l = rare_keys(left, threshold, cells).select(*cells, "key", *(F.col(c).alias(f"l_{c}") for c in own))
-    r = rare_keys(right, threshold, cells).select(*cells, "key", *(F.col(c).alias(f"r_{c}") for c in own))
-    near = may_be_similar(threshold)
-    if below:
-        near &= F.col("l_cls") < F.col("r_cls")
-    met = l.join(r, [*cells, "key"]).where(near).select("l_cls", "r_cls").distinct()
-    l, r = (side.select(F.col("cls").alias(f"{n}_cls"), F.col("terms").alias(f"{n}_terms")) for n, side in zip("lr", sets or (left, right)))
-    shared = F.size(F.array_intersect("l_terms", "r_terms"))
-    pairs = met.join(l, "l_cls").join(r, "r_cls")
-    pairs = pairs.withColumn("similarity", shared / (F.size("l_terms") + F.size("r_terms") - shared))
-    return pairs.where(F.col("similarity") >= threshold - EPS).select("l_cls", "r_cls", "similarity")
-
-
 class Pivots:
     """Pivots as an inverted index: distances of a set to all of them that share a term with it."""
 
