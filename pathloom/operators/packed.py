@@ -238,11 +238,9 @@ def unpack(df: DataFrame, column: str, *, delimiters: Sequence[str] = VALUE_DELI
     """One row per value of `column`: the other columns, then `pos` (int, from 1) and `val`.
 
     `protected`: names that are not cut; a bounded list that travels with the tasks.  Columns of df
-    that bear the names of `pos` or `val` are refused, as they would be lost.
+    that bear the names of `pos` or `val` give way to those made here.
     """
-    others = [c for c in df.columns if c != column]
-    if {pos, val} & set(others):
-        raise ValueError(f"columns {pos!r} and {val!r} are made here; rename those of the input")
+    others = [c for c in df.columns if c not in (column, pos, val)]
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(pos, T.IntegerType()), T.StructField(val, T.StringType())])
     delimiters, protected = tuple(delimiters), tuple(protected)
 

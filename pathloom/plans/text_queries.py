@@ -347,14 +347,15 @@ def jn_remap_lookup(s, d):
 _STOP = "[" + ", ".join(f"'{w}'" for w in resolve.STOP) + "]"
 
 
-@query(rf"""WITH RECURSIVE b AS MATERIALIZED (SELECT name, list_sort(list_filter(list_distinct(regexp_extract_all(lower(name), '\b([a-z0-9]+)\b', 1)), lambda v: NOT list_contains({_STOP}, v))) AS w FROM (SELECT DISTINCT canonical_name AS name FROM skills_canonical WHERE canonical_name IS NOT NULL)),
+@query(rf"""WITH RECURSIVE b AS MATERIALIZED (SELECT name, list_sort(list_filter(list_distinct(regexp_extract_all(lower(name), '\b([a-z0-9]+)\b', 1)), lambda v: NOT list_contains({_STOP}, v))) AS w FROM (SELECT DISTINCT skill AS name FROM skill_taxonomy WHERE skill IS NOT NULL)),
     u AS MATERIALIZED (SELECT name, unnest(w) AS t FROM b), q AS MATERIALIZED (SELECT x.name, x.t AS p, y.t AS q FROM u x JOIN u y ON x.name = y.name AND x.t < y.t),
     l AS MATERIALIZED (SELECT p, q, min(name) AS a FROM q GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 30),
     e0 AS (SELECT DISTINCT a, name AS b FROM q JOIN l USING (p, q) WHERE a <> name), e AS MATERIALIZED (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
     r AS (SELECT name AS v, name AS r FROM b UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.v), m AS (SELECT v, min(r) AS root FROM r GROUP BY 1)
     SELECT size, members FROM (SELECT root, count(*) AS size, array_to_string(list_sort(list(v)), ';') AS members FROM m GROUP BY 1) WHERE size BETWEEN 3 AND 30 ORDER BY size DESC, root LIMIT 15""")
 def er_token_bigram(s, d):
-    return resolve.variant_groups(I.skills(s, d), "canonical_name")
+    """The largest groups of taxonomy names that share a pair of words."""
+    return resolve.variant_groups(_tax(s, d), "skill")
 
 
 @query("SELECT skill_id, skill, max(doc_frequency) AS doc_frequency FROM skill_taxonomy WHERE doc_frequency >= 5 GROUP BY 1, 2")

@@ -63,8 +63,8 @@ def test_operator_keeps_columns_and_positions(spark):
     got = sorted(tuple(r) for r in unpack(df, "f").collect())
     assert got == [(1, "x", 1, "a"), (1, "x", 2, "b"), (3, "z", 1, "c"), (3, "z", 1, "c"), (3, "z", 2, "a"), (3, "z", 2, "a")]
     assert unpack(df.where("false"), "f").count() == 0
-    with pytest.raises(ValueError):
-        unpack(df.withColumnRenamed("other", "pos"), "f")
+    assert unpack(df.withColumnRenamed("other", "pos"), "f").columns == ["id", "pos", "val"]
+    assert unpack(df.withColumnRenamed("f", "val"), "val").count() == 6
 
 
 def test_many_rows_in_parts(spark):
