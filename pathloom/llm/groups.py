@@ -162,6 +162,7 @@ def typical_terms(labelled: DataFrame, terms: DataFrame, *, label: str, share: f
     """label, term: terms that at least `share` of the records labelled so hold.
 
     labelled: rec, label (one row per record); terms: rec, term (distinct)."""
+    labelled, terms = labelled.select("rec", label), terms.select("rec", "term")
     n = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     held = terms.join(labelled, "rec").groupBy(label, "term").agg(F.count(F.lit(1)).alias("_k"))
     return held.join(n, label).where(F.col("_k") >= share * F.col("_n") - EPS).select(label, "term")
@@ -171,6 +172,7 @@ def misplaced(groups: dict[str, DataFrame], labelled: DataFrame, typical: DataFr
     """Records of the clusters that hold more typical terms of another label than of their own.
 
     Worked out once per distinct set and label, then handed to the members."""
+    labelled, typical = labelled.select("rec", label), typical.select(label, "term")
     flat = groups["classes"].select("cls", F.explode("terms").alias("term")).join(typical.withColumnRenamed(label, "_label"), "term")
     counts = flat.groupBy("cls", "_label").agg(F.count(F.lit(1)).alias("k"))
     best = counts.groupBy("cls").agg(F.collect_list(F.struct("_label", "k")).alias("held"))  # one entry per label

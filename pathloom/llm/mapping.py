@@ -73,6 +73,7 @@ def own_words(distinct: DataFrame, listed: list, value: str) -> frozenset[str]:
 
 
 def mapped(rows: DataFrame, entries: DataFrame, *, value: str = "val", max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """The rows with entry_id and how; rows with a null value are left out.  A value that very many
-    rows share is joined skew-split or by broadcast (AQE)."""
+    """The rows with entry_id and how (which replace columns of these names); rows with a null value
+    are left out.  A value that very many rows share is joined skew-split or by broadcast (AQE)."""
+    rows = rows.drop("entry_id", "how")
     return rows.join(map_values(rows, entries, value=value, max_entries=max_entries), value)

@@ -77,6 +77,6 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, reached_share, n_records, tokens, most_repeats for every target."""
     by = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.col("size") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     whole = by.agg(F.sum("tokens").alias("_all"))
-    out = targets.join(by, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    out = targets.select("source", "target_share").join(by, "source", "left").crossJoin(F.broadcast(whole))  # one row
     zero = F.lit(0).cast("bigint")
     return out.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("reached_share"), F.coalesce("n_records", zero).alias("n_records"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("most_repeats", zero).alias("most_repeats"))

@@ -147,15 +147,15 @@ def p8_packs(spark: SparkSession, folder: str) -> DataFrame:
     for r in bounded_rows(table(spark, folder, "pack_sizes").where("capacity > 0").distinct(), 1000, "pack_sizes"):
         part = packing.pack_items(sizes, r["capacity"]).select(F.lit(r["pack_name"]).alias("pack_name"), "pack_id", F.col("item").alias("doc_id"), "piece", "start", F.col("n").alias("n_tokens"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("pack_sizes has no capacity")
+    if out is None:  # no capacity, no packs
+        return packing.pack_items(sizes.where("false"), 1).select(F.lit("").alias("pack_name"), "pack_id", F.col("item").alias("doc_id"), "piece", "start", F.col("n").alias("n_tokens"))
     return out
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     """pack_name, capacity, n_packs, n_tokens, fill: how well the packs are filled."""
     by = p8_packs(spark, folder).groupBy("pack_name").agg(F.count_distinct("pack_id").alias("n_packs"), F.sum("n_tokens").alias("n_tokens"))
-    out = by.join(table(spark, folder, "pack_sizes"), "pack_name")
+    out = by.join(table(spark, folder, "pack_sizes").select("pack_name", "capacity").distinct(), "pack_name")
     return out.select("pack_name", "capacity", "n_packs", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_packs") * F.col("capacity")), 6).alias("fill"))
 
 

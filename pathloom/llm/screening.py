@@ -14,8 +14,9 @@ from pathloom.llm.abuse import THRESHOLD, Grammar
 
 def with_abuse_scores(docs: DataFrame, text: str, score: str = "score", kind: str = "kind") -> DataFrame:
     """The other columns of docs, the score of each text and the kind of its heaviest clause
-    (insult, threat, group, sexual or empty).  Narrow: no shuffle, one pass over the texts."""
-    others = [c for c in docs.columns if c != text]
+    (insult, threat, group, sexual or empty); they replace columns of these names.  Narrow: no
+    shuffle, one pass over the texts."""
+    others = [c for c in docs.columns if c not in (text, score, kind)]
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(score, T.DoubleType()), T.StructField(kind, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

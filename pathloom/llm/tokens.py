@@ -26,8 +26,9 @@ def encoding(path: str):
 
 
 def with_token_counts(df: DataFrame, text: str, name: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The other columns of df and the number of tokens of `text`; a null text has none."""
-    others = [c for c in df.columns if c != text]
+    """The other columns of df and the number of tokens of `text`; a null text has none.  A column
+    that bears the name of the number gives way."""
+    others = [c for c in df.columns if c not in (text, name)]
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(name, T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

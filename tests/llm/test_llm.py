@@ -342,6 +342,31 @@ def test_screening(spark):
     assert got == {"flagged by both": 1, "flagged by neither": 1, "flagged by the reviewers": 1}
 
 
+# ---- clashing columns
+
+
+def test_columns_of_the_same_names(spark):
+    """Extra columns give way to those an operator makes, or are not carried."""
+    entries = frame(spark, ENTRIES, "id int, name string, aliases array<string>").withColumn("val", F.lit("x"))
+    rows = frame(spark, [("VD", 7, "z")], "val string, entry_id int, how string")
+    assert [r["entry_id"] for r in mapping.mapped(rows, entries).collect()] == [1]
+    docs = frame(spark, [(1, BAD[0], 9.0, "k")], "doc_id int, text string, score double, kind string")
+    assert screening.with_abuse_scores(docs, "text").first()["kind"] == "insult"
+    links = frame(spark, [("a", "b", "v", "g")], "x string, y string, vertex string, group string")
+    assert {tuple(r) for r in components.connected_groups(links, "x", "y").collect()} == {("a", "a"), ("b", "a")}
+    items = frame(spark, [(1, 5, 0, 0, 0)], "item int, size int, pack_id int, u int, rank int")
+    assert packing.pack_items(items, 10).count() == 1
+    terms = frame(spark, [("r", "t", 1, 2.0, 3)], "rec string, term string, tf int, score double, doc_freq int")
+    assert distinctive.distinctive_terms(terms, terms).count() == 1
+    assert bitmaps.term_frequencies(terms, record="rec", term="term", weight="score").first()["weight"] == 2.0
+    sets = setjoin.record_sets(terms.withColumn("cls", F.lit(1)), "rec", "term")
+    assert setjoin.similar_pairs(sets, sets).count() == 1
+    assert groups.similar_groups(terms.withColumn("cls", F.lit(1)), "rec", "term")["records"].first()["group"] == "r"
+    targets = frame(spark, [("s", 1.0, 1, 5)], "source string, target_share double, max_repeats int, tokens int")
+    mixed = mixing.mix_sources(frame(spark, [(1, "s", 10, 3)], "item int, source string, size int, repeats int"), targets)
+    assert mixing.mix_shares(mixed, targets).first()["reached_share"] == 1.0
+
+
 # ---- the queries
 
 
