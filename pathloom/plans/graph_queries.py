@@ -303,6 +303,21 @@ def snk_json(s, d):
     return s.read.schema("title string, n_postings bigint").json(path)
 
 
+@query("SELECT cluster_id, count(*) AS n FROM students_clustered GROUP BY 1")
+def snk_csv_p2(s, d):
+    """Stage outputs (students with their cluster) written as CSV and read back."""
+    path = f"{checkpoint_dir(s)}/snk_csv_p2"
+    sinks.write_csv(table(s, d, "students_clustered").select("student_id", "cluster_id"), path)
+    return s.read.schema("student_id string, cluster_id int").option("header", True).csv(path).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def snk_html(s, d):
+    """The report's tables as one page, one row."""
+    tables = {"Skill frequencies": rpt_bins(s, d), "Top skills": rpt_top30(s, d), "Overlap": set_overlap(s, d), "Skills per document": rpt_per_doc(s, d)}
+    return s.createDataFrame([(sinks.report_html("Skills", tables),)], "html string")
+
+
 @query()
 def snk_md(s, d):
     """Case studies as Markdown, one row."""
@@ -725,6 +740,7 @@ def fmt_prompt(s, d):
     return s.createDataFrame(_prompts(s, d), "student_id string, prompt string")
 
 
+@query(None, "llm_insight")
 @query()
 def api_insight(s, d):
     """Parsed insight of every request; the model is a function here that names the goal."""

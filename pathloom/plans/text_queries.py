@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import parsing
 from pathloom.functions import skills as fs
-from pathloom.functions.strings import split_list
+from pathloom.functions.strings import split_list, strip
 from pathloom.operators import resolve, taxonomy
 from pathloom.operators.extract import extract_skills, keyword_extractor
 from pathloom.plans import inputs as I
@@ -368,3 +368,76 @@ def flt_year_level(s, d):
     return I.courses(s, d).select("code", fs.year_level("code").alias("level"))
 
 
+
+
+# ---- catalogue files
+
+
+def _catalog_files(s, d) -> str:
+    """The catalogue text as one file per page in the shared folder."""
+    from pathloom.runtime import checkpoint_dir
+
+    path = f"{checkpoint_dir(s)}/catalog-pages"
+    _catalog_text(s, d).write.mode("overwrite").partitionBy("page").text(path)
+    return path
+
+
+_PAGES = "SELECT sum(length(code)) AS n_signs FROM courses WHERE units IS NOT NULL AND name IS NOT NULL AND regexp_full_match(code, '[A-Z]{2,6}[0-9]{4}')"
+
+
+@query(with_sql(_PAGES))
+def src_pdf_text(s, d):
+    """Text of catalogue files by a function from bytes: signs of all codes at the start of an entry."""
+    from pathloom.sources.files import read_documents_text
+
+    pages = read_documents_text(s, _catalog_files(s, d) + "/*/*.txt", lambda b: b.decode())
+    codes = F.regexp_extract_all("text", F.lit(r"(?m)^([A-Z]{2,6}\d{4})\s.*\(\d+ units\)"), 1)
+    return pages.agg(F.sum(F.aggregate(codes, F.lit(0).cast("bigint"), lambda n, c: n + F.length(c))).alias("n_signs"))
+
+
+@query(with_sql(_CATALOG))
+def src_pdf_parse(s, d):
+    """Catalogue files read and parsed."""
+    from pathloom.sources.files import read_catalog
+
+    return read_catalog(s, _catalog_files(s, d) + "/*/*.txt", lambda b: b.decode())
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(string_split(text, E'\\n\\n'), lambda v: NOT regexp_full_match(v, '\\s*')), E'\\n\\n')) AS text FROM documents WHERE NOT regexp_full_match(text, '\\s*')""")
+def src_pdf_bytes(s, d):
+    """Paragraphs of every document as pages, the blank ones left out, joined again (as MD5)."""
+    from pathloom.sources.files import join_pages
+
+    pages = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("page", "t"))
+    return join_pages(pages, "doc_id", "page", "t").select("doc_id", F.md5("text").alias("text"))
+
+
+@query()
+def src_unzip(s, d):
+    """A postings archive in the driver's folder, extracted once; the second call finds the member there."""
+    import tempfile
+    import zipfile
+
+    from pathloom.sources.files import ensure_extracted
+
+    with tempfile.TemporaryDirectory() as folder:
+        with zipfile.ZipFile(f"{folder}/a.zip", "w") as z:
+            z.writestr("postings.csv", "job_id,title\n1,A\n")
+        paths = [ensure_extracted(f"{folder}/a.zip", f"{folder}/out") for _ in range(2)]
+        return s.createDataFrame([(open(p).read(),) for p in paths], "content string")
+
+
+def _prompt_sql() -> str:
+    from pathloom.operators.extract import EXTRACTION_PROMPT
+
+    before, after = EXTRACTION_PROMPT.replace("'", "''").split("{text}")
+    return f"SELECT doc_id, md5('{before}' || text || '{after}') AS prompt FROM documents"
+
+
+@query(_prompt_sql())
+def prompt_skills(s, d):
+    """Extraction prompt of every document, as its MD5."""
+    from pathloom.operators.extract import EXTRACTION_PROMPT
+
+    before, after = EXTRACTION_PROMPT.split("{text}")
+    return table(s, d, "documents").select("doc_id", F.md5(F.concat(F.lit(before), "text", F.lit(after))).alias("prompt"))
