@@ -44,9 +44,9 @@ LEXICON: dict[str, str] = {
     "BAD": """stupid brainless pathetic worthless useless filthy dirty ugly dumb lying disgusting vile rotten miserable
         spineless smelly fat lazy fucking bloody damn goddamn complete total utter absolute elender elende elendes
         dumme dummer blode bloder mieser miese dreckige dreckiger hassliche sale sales gros grosse petit pauvre
-        maldito maldita asqueroso asquerosa puto jodido little old incompetent ignorant sorry""",
+        maldito maldita asqueroso asquerosa puto jodido little old incompetent ignorant sorry half""",
     "BEAST": """cow pig rat clown dog worm snake monkey ape toad goat donkey cockroach vermin trash garbage witch
-        bag brat sow waste piece excuse nobody hund sau kuh schwein ratte vache porc chien truie cerdo cerda perra perro rata vaca""",
+        bag brat sow waste piece excuse nobody wit hund sau kuh schwein ratte vache porc chien truie cerdo cerda perra perro rata vaca""",
     "VILE": """vermin scum trash garbage filth animals animal parasites parasite rats rat cockroaches subhuman subhumans savages
         pests disease plague cancer dirt barbarians monkeys apes pigs dogs abschaum ungeziefer dreck gesindel pack mull
         basura escoria plaga ratas alimanas animales mierda vermine ordures racaille parasiten parasitos pourriture""",

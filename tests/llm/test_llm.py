@@ -308,7 +308,7 @@ def test_mix(spark):
 
 BAD = [
     "You are a complete moron and everybody knows it.", "GO TO HELL, YOU SCUMBAG", "The tutor is a pаthetic clоwn.", "Only an i​diot like you would fail.", "you are a l.o.s.e.r",
-    "Shut your mouth, j*****s, nobody asked you.", "You w0rthl355 rat", "I will break your jaw if I see you.", "Jump off the bridge, the rest of us will cheer.", "Immigrants are vermin and should be kept out.",
+    "Shut your mouth, j*****s, nobody asked you.", "The guy running it is a h.a.l.f.-.w.i.t.", "You are a half-w1t.", "You w0rthl355 rat", "I will break your jaw if I see you.", "Jump off the bridge, the rest of us will cheer.", "Immigrants are vermin and should be kept out.",
     "Old people are too stuuuupid for this.", "Nobody wants gay people here.", "send me naked pictures", "He gave me a b l o w j o b", "Du bist ein Vollidiot.", "Ausländer sind Abschaum.", "Eres un imbécil.",
     "Te voy a partir la cara.", "Tu es un connard.", "Je vais te casser la figure.", "Mándame fotos desnuda.", "Les femmes sont trop bêtes pour ça.",
 ]
