@@ -35,8 +35,9 @@ def course_fields(block: Column | str) -> Column:
     code = F.regexp_extract(b, r"(?s)^\s*([A-Z]{2,6}\d{4})\s", 1)
     units = F.regexp_extract(b, UNITS, 1)
     name = single_spaced(F.regexp_extract(b, r"(?s)^\s*[A-Z]{2,6}\d{4}\s+(.*?)\(\d+\s*units?\)", 1))
-    prereq = single_spaced(F.regexp_extract(b, r"(?s)Pre-requisite(?:\(s\)|s)?\s*[:：](.*?)Course Description\s*[:：]", 1))
-    description = single_spaced(F.regexp_extract(b, r"(?s)Course Description\s*[:：](.*)$", 1))
+    after = F.regexp_replace(b, rf"(?s)^.*?{UNITS}", "")  # what follows the first units marker
+    prereq = single_spaced(F.regexp_extract(after, r"(?s)Pre-requisite\(s\)[:：](.*?)(?:Course Description[:：]|\z)", 1))
+    description = single_spaced(F.regexp_extract(after, r"(?s)Course Description[:：](.*)\z", 1))
     made = F.struct(code.alias("code"), name.alias("name"), units.cast("int").alias("units"), prereq.alias("prerequisites_text"), description.alias("description"))
     return F.when((code != "") & (units != "") & ((prereq != "") | (description != "")), made)
 
@@ -75,11 +76,11 @@ def json_insight(reply: Column | str) -> Column:
     return F.struct(*(strip(F.coalesce(v[k], F.lit(""))).alias(k) for k in INSIGHT_KEYS))
 
 
-def json_transcript(reply: Column | str, most: int = 20_000) -> Column:
-    """struct(major, year, gpa, completed_courses, current_courses) of a JSON reply of at most so many signs.
+def json_transcript(reply: Column | str) -> Column:
+    """struct(major, year, gpa, completed_courses, current_courses) of a JSON reply.
 
     gpa only if it is a number; lists keep non-blank strings; a year that is no number is 0."""
-    v = F.try_parse_json(_bracketed(F.substring(F.coalesce(col(reply), F.lit("")), 1, most), "{", "}"))
+    v = F.try_parse_json(_bracketed(F.coalesce(col(reply), F.lit("")), "{", "}"))
     number = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("BIGINT|DECIMAL|DOUBLE|INT")
     empty = F.array().cast("array<string>")
     lists = lambda path: F.coalesce(_strings(F.try_variant_get(v, path, "variant")), empty)

@@ -68,6 +68,28 @@ def extract_skills(docs: DataFrame, ident: str, text: str, extractor: Callable[[
     return out, full
 
 
+# Fixed text: how a model is asked for the data of a transcript.
+TRANSCRIPT_PROMPT = (
+    "Read the transcript below. Answer with one JSON object with the keys major (text), year (1 to 5), gpa (number or null), "
+    "completed_courses and current_courses (lists of course codes).\n\nTranscript:\n{text}"
+)
+TRANSCRIPT_SIGNS = 20_000  # of a transcript that go into the prompt
+
+
+def transcript_prompt(text: str | None) -> str | None:
+    """Prompt for a transcript's text; none for a blank one, whose profile is empty."""
+    return TRANSCRIPT_PROMPT.replace("{text}", text[:TRANSCRIPT_SIGNS]) if text and text.strip() else None
+
+
+def check_upload(name: str | None, content: bytes | None, most: int = 10 * 1024 * 1024) -> int:
+    """Status of an uploaded transcript: 400 without a file or with an empty one, 415 unless it is a PDF, 413 if too large, else 200."""
+    if not name or not content:
+        return 400
+    if not name.lower().endswith(".pdf"):
+        return 415
+    return 413 if len(content) > most else 200
+
+
 def year_text(year: int | None, language: str = "en") -> str:
     if language == "zh":
         return f"大{year}" if year and 1 <= year <= 4 else "研究生" if year == 5 else "未知"

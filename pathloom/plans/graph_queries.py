@@ -11,7 +11,7 @@ from pathloom.functions.strings import record_code, strip
 from pathloom.plans import inputs as I
 from pathloom.plans.inputs import ITERATIONS, strip_sql, with_sql
 from pathloom.plans.registry import query
-from pathloom.runtime import checkpoint_dir, cut
+from pathloom.runtime import bounded_rows, checkpoint_dir, cut
 from pathloom.sources import files, sinks
 from pathloom.sources.tables import table
 
@@ -410,7 +410,7 @@ def topk_indices(s, d):
 @query()
 def c_kmeans(s, d):
     """K-means archetypes (k = 8, best of ten runs), with the size of each."""
-    vocabulary = sorted(r[0] for r in I.skills(s, d).select("canonical_name").limit(100_000).collect())
+    vocabulary = sorted(r[0] for r in bounded_rows(I.skills(s, d).select("canonical_name"), 100_000, "skills_canonical"))
     out = cohort.kmeans(_matrix(s, d), I.students(s, d), vocabulary)
     return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 

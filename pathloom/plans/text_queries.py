@@ -12,6 +12,7 @@ from pathloom.operators.extract import extract_skills, keyword_extractor
 from pathloom.plans import inputs as I
 from pathloom.plans.inputs import split_sql, strip_sql, with_sql
 from pathloom.plans.registry import query
+from pathloom.runtime import bounded_rows
 from pathloom.sources.tables import table
 
 # ---- text
@@ -99,7 +100,7 @@ def txt_catalog(s, d):
     return parsing.catalog(_catalog_text(s, d), "text", "page")
 
 
-@query(with_sql(f"SELECT count(*) AS n_blocks FROM ({_CATALOG})"))
+@query(with_sql("SELECT count(*) AS n_blocks FROM courses WHERE units IS NOT NULL AND name IS NOT NULL AND regexp_full_match(code, '[A-Z]{2,6}[0-9]{4}')"))
 def txt_blocks(s, d):
     return parsing.course_blocks(_catalog_text(s, d), "text", "page").agg(F.count(F.lit(1)).alias("n_blocks"))
 
@@ -182,7 +183,7 @@ def fn_sha1_key(s, d):
 @query()
 def fn_extract(s, d):
     """Listed skills found in whole documents by keyword, one row per document."""
-    listed = sorted(r[0] for r in I.skills(s, d).select("canonical_name").limit(100_000).collect())
+    listed = sorted(r[0] for r in bounded_rows(I.skills(s, d).select("canonical_name"), 100_000, "skills_canonical"))
     out, _ = extract_skills(table(s, d, "documents"), "doc_id", "text", keyword_extractor(listed))
     return out
 
@@ -190,7 +191,7 @@ def fn_extract(s, d):
 @query()
 def fn_extract_many(s, d):
     """Skills of course descriptions in the order of the codes; the cache afterwards has one row per distinct text."""
-    listed = sorted(r[0] for r in I.skills(s, d).select("canonical_name").limit(100_000).collect())
+    listed = sorted(r[0] for r in bounded_rows(I.skills(s, d).select("canonical_name"), 100_000, "skills_canonical"))
     out, cache = extract_skills(I.courses(s, d), "code", "description", keyword_extractor(listed))
     n = cache.agg(F.count(F.lit(1)).alias("cached"))
     return out.crossJoin(F.broadcast(n)).orderBy("code")  # one row

@@ -17,7 +17,7 @@ from pathloom.sources.tables import exists
 # The columns of the timetable as written, and their names here.
 TIMETABLE_COLUMNS = {
     "Course Code": "course_code", "Course Title & Session": "title_session", "Offering Unit": "offering_unit", "Offering Programme": "offering_programme",
-    "Units": "units", "Class Schedule": "schedule", "Classroom": "classroom", "Teachers": "teacher", "Course Requirements": "requirements",
+    "Units": "units", "Class Schedule": "schedule", "Classroom": "classroom", "Teachers": "teacher", "Requirements": "requirements",
 }
 POSTING_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("job_id", "title", "description")]

@@ -58,20 +58,23 @@ Pre-requisite(s): None
 Course Description: Covers accounts.
 AI2003 Wrapped
 Name of Course (3 units)
-Pre-requisites: COMP1003
+Pre-requisite(s)：COMP1003
 see
 COMP1003 for more
 Course Description: Learn.
 AI2003 Again (2 units)
 Course Description: Second.
+COMP4000 Open End (1 unit)
+Pre-requisite(s): AI2003
 """
 
 
 def test_catalog(spark):
     df = spark.createDataFrame([("p", CATALOG), ("q", None), ("r", "")], "id string, t string")
-    assert parsing.course_blocks(df, "t", "id").count() == 3
+    assert parsing.course_blocks(df, "t", "id").count() == 4
     got = {r["code"]: r for r in parsing.catalog(df, "t", "id").collect()}
-    assert set(got) == {"ACCT2003", "AI2003"}
+    assert set(got) == {"ACCT2003", "AI2003", "COMP4000"}
+    assert got["COMP4000"]["prerequisites_text"] == "AI2003" and got["COMP4000"]["description"] == ""
     assert got["AI2003"]["name"] == "Wrapped Name of Course" and "COMP1003 for more" in got["AI2003"]["prerequisites_text"]
     assert got["ACCT2003"]["units"] == 3 and got["ACCT2003"]["description"] == "Covers accounts."
 
@@ -259,6 +262,8 @@ def test_extract(spark):
     prompt = extract.insight_prompt({"year": 3}, "Nurse", 5, [{"code": "A", "name": "n", "bridge_skills": [{"skill": str(i)} for i in range(9)], "gap_skills": list("pqrs")}], [], [], [])
     assert "covers: 0, 1, 2, 3 gaps: p, q, r" in prompt and "Year 3" in prompt and extract.year_text(5, "zh") == "研究生"
     assert extract.insight(lambda p: 1 / 0, prompt) == ""
+    assert extract.transcript_prompt("  ") is None and len(extract.transcript_prompt("x" * 50_000)) < 21_000
+    assert [extract.check_upload(*a) for a in ((None, b"x"), ("a.pdf", b""), ("a.txt", b"x"), ("a.PDF", b"x"))] == [400, 400, 415, 200]
 
 
 def test_files(spark, tmp_path):
@@ -278,8 +283,8 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_timetable(spark, str(t)).collect()] == [("A1", "One", "3")]
     c = tmp_path / "catalog.txt"
     c.write_text(CATALOG)
-    assert files.read_catalog(spark, str(c)).count() == 2
-    assert files.read_catalog(spark, str(c), lambda b: b.decode()).count() == 2
+    assert files.read_catalog(spark, str(c)).count() == 3
+    assert files.read_catalog(spark, str(c), lambda b: b.decode()).count() == 3
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, " ")], "id int, p int, t string")
     assert files.join_pages(pages, "id", "p", "t").first()["text"] == "a\n\nb"
 
