@@ -10,7 +10,7 @@ from pathloom.operators.extract import insight_prompt
 from pathloom.functions.strings import record_code, strip
 from pathloom.plans import inputs as I
 from pathloom.plans.inputs import ITERATIONS, strip_sql, with_sql
-from pathloom.plans.registry import query
+from pathloom.plans.registry import QUERIES, SQL, query
 from pathloom.runtime import bounded_rows, checkpoint_dir, cut
 from pathloom.sources import files, sinks
 from pathloom.sources.tables import table
@@ -267,6 +267,9 @@ snk_graph = query(with_sql("SELECT type, count(*) AS n FROM nodes GROUP BY 1"),
 )
 
 
+query(SQL["snk_graph"], "snk_pickle")(QUERIES["snk_graph"])  # the graph's file is a pair of Parquet tables here
+
+
 @query()
 def src_cache(s, d):
     """A cache that is not there reads as an empty table."""
@@ -357,7 +360,7 @@ def agg_norm(s, d):
     return I.career_skills(s, d).groupBy("title").agg(r6(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("norm"))
 
 
-@query("SELECT count_if(canonical_skills IS NULL OR trim(canonical_skills, E' \\t\\n\\r') = '') AS empty, count(*) AS n FROM courses_canonical")
+@query("SELECT count_if(canonical_skills IS NULL OR trim(canonical_skills, E' \\t\\n\\r') = '')::BIGINT AS empty, count(*) AS n FROM courses_canonical")
 def agg_count_where(s, d):
     return table(s, d, "courses_canonical").agg(F.count_if(F.coalesce(strip("canonical_skills"), F.lit("")) == "").alias("empty"), F.count(F.lit(1)).alias("n"))
 
@@ -763,3 +766,9 @@ def api_transcript(s, d):
     p = I.students(s, d).select("student_id", json_transcript(obj).alias("r")).select("student_id", F.col("r.major").alias("major"), F.col("r.year").alias("year"), "r.completed_courses")
     rows = p.select("student_id", F.explode("completed_courses").alias("code")).join(I.courses(s, d).select("code"), "code", "left_semi").groupBy("student_id").agg(F.count(F.lit(1)).alias("n_known"))
     return p.join(rows, "student_id", "left").select("student_id", "major", "year", F.coalesce("n_known", F.lit(0).cast("bigint")).alias("n_known"))
+
+
+@query()
+def api_index(s, d):
+    """The start page: the titles on offer, one row."""
+    return s.createDataFrame([(sinks.report_html("Careers", {"Titles": api_careers(s, d).orderBy("title")}),)], "html string")

@@ -383,7 +383,7 @@ def _catalog_files(s, d) -> str:
     return path
 
 
-_PAGES = "SELECT sum(length(code)) AS n_signs FROM courses WHERE units IS NOT NULL AND name IS NOT NULL AND regexp_full_match(code, '[A-Z]{2,6}[0-9]{4}')"
+_PAGES = "SELECT sum(length(code))::BIGINT AS n_signs FROM courses WHERE units IS NOT NULL AND name IS NOT NULL AND regexp_full_match(code, '[A-Z]{2,6}[0-9]{4}')"
 
 
 @query(with_sql(_PAGES))
