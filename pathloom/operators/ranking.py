@@ -26,9 +26,12 @@ def personalization(spark: SparkSession, graph: CareerGraph, student: str, caree
 
 
 def transition(edges: DataFrame) -> DataFrame:
-    """src, dst, t: weights over the sum of the source's weights; sources of no weight are dangling."""
-    total = F.sum("weight").over(Window.partitionBy("src"))
-    return edges.where("weight <> 0").withColumn("total", total).where("total <> 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("t"))
+    """src, dst, t: weights over the sum of the source's weights; sources of no weight are dangling.
+
+    The sums are partial aggregates joined back, so the edges of a hub are in no one task."""
+    live = edges.where("weight <> 0")
+    total = live.groupBy("src").agg(F.sum("weight").alias("total")).where("total <> 0")
+    return live.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("t"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, max_iter: int = 100, tol: float | None = 1e-6, n_nodes: int | None = None) -> DataFrame:
@@ -65,7 +68,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, max_it
     return r
 
 
-def pagerank_dense(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, max_iter: int = 100, most_edges: int = 2_000_000) -> DataFrame:
+def pagerank_dense(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, max_iter: int = 100, most_edges: int = 500_000) -> DataFrame:
     """The same as `pagerank` with a fixed number of rounds, for a graph of at most `most_edges` edges:
     each seed is one group that iterates over the graph in numpy.  A larger graph takes the joins."""
     t = cut(transition(edges))
