@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.runtime import keep
+
 K1, B = 1.2, 0.75
 
 
@@ -26,9 +28,9 @@ def distinctive_terms(terms: DataFrame, records: DataFrame, *, record: str = "re
     rows = terms.select(record, term).where(F.col(record).isNotNull() & F.col(term).isNotNull())
     tf = rows.groupBy(record, term).agg(F.count(F.lit(1)).alias("tf"))
     whole = Window.partitionBy(record)
-    tf = tf.withColumns({"doc_len": F.sum("tf").over(whole), "n_terms": F.count(F.lit(1)).over(whole)})
+    tf = keep(tf.withColumns({"doc_len": F.sum("tf").over(whole), "n_terms": F.count(F.lit(1)).over(whole)}))  # read three times
     df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("doc_freq"))
-    length = rows.agg(F.count(F.lit(1)).alias("all_terms"))
+    length = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_terms"))
     out = tf.join(df, term).crossJoin(F.broadcast(n.crossJoin(length)))  # one row
     idf = F.log1p((F.col("n_docs") - F.col("doc_freq") + 0.5) / (F.col("doc_freq") + 0.5))
     norm = 1 - b + b * F.col("doc_len") / (F.col("all_terms") / F.col("n_docs"))

@@ -16,7 +16,8 @@ from pathloom.sources.tables import table
 def _skills(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """rec, term: the distinct skills of each record, as compared."""
     values = packed_values(spark, folder, name).where("rec is not null")
-    return values.select("rec", match_key("val").alias("term")).distinct()
+    # one shuffle by record serves distinct(), term frequencies, lengths and sets alike
+    return values.select("rec", match_key("val").alias("term")).repartition("rec").distinct()
 
 
 def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +105,7 @@ def _students(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, d
     """Stored clusters (rec, cluster_id), codes (rec, term) and similarity groups of the students that have a stored cluster."""
     stored = table(spark, folder, "students_clustered").where("student_id is not null and cluster_id is not null")
     stored = stored.groupBy(F.col("student_id").alias("rec")).agg(F.min("cluster_id").alias("cluster_id"))
-    codes = packed_values(spark, folder, "students_clustered").select("rec", record_code("val").alias("term")).where("rec is not null").distinct()
+    codes = packed_values(spark, folder, "students_clustered").select("rec", record_code("val").alias("term")).where("rec is not null").repartition("rec").distinct()
     return stored, codes, groups.similar_groups(codes, "rec", "term", 0.8)
 
 
