@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.operators.overlap import EPS, by_rarity, prefix_pairs
-from pathloom.runtime import cut
+from pathloom.runtime import cut, keep
 
 PIVOTS = 1024
 PIVOT_TERMS = 4096  # only sets of at most so many terms are made pivots
@@ -139,6 +139,7 @@ def class_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, *, pi
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
     """l_rec, r_rec, similarity of the records (rec, terms) of two tables."""
+    left, right = keep(left), keep(right)  # read for the classes, their order and their members
     pairs = class_pairs(classes(left), classes(right), threshold, **options)
     l = members(left).select(F.col("cls").alias("l_cls"), F.col("rec").alias("l_rec"))
     r = members(right).select(F.col("cls").alias("r_cls"), F.col("rec").alias("r_rec"))
