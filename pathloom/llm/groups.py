@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pathloom.llm.components import connected_groups
 from pathloom.llm.setjoin import record_sets, set_class
 from pathloom.operators.overlap import EPS, MASKS, by_rarity, may_be_similar, prefix_pairs
-from pathloom.runtime import cut
+from pathloom.runtime import cut, keep
 
 BANDS, ROWS = 28, 8  # at a similarity of 0.8 a pair meets in some band with probability 0.994
 BUCKET_CAP = 4096
@@ -35,7 +35,7 @@ STATIC_ROUNDS = 16
 def numbered_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls, terms, n, first) with cls a number per distinct set, n its records and first the smallest
     of them; and (rec, cls)."""
-    keyed = sets.withColumn("key", set_class())
+    keyed = keep(sets.withColumn("key", set_class()))
     one = keyed.groupBy("key").agg(F.any_value("terms").alias("terms"), F.count(F.lit(1)).alias("n"), F.min("rec").alias("first"))
     one = cut(one.withColumn("cls", F.monotonically_increasing_id()))
     return one.drop("key"), cut(keyed.select("rec", "key").join(one.select("key", "cls"), "key").drop("key"))
