@@ -7,6 +7,8 @@ exact), and only candidates fetch their sets."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,18 @@ def _hashes(terms: Column, many: int, group: Column) -> Column:
     return F.flatten(triples)
 
 
-# How many rare terms a key has, by the binary logarithm of the smaller set's size: few for large
-# sets, whose combinations would be many while their rarest terms are rare anyway.
-KEY_TERMS = [1, 2, 3, 3, 3, 2, 1]
+MOST_KEYS = 64  # of one set in one group, about
+
+
+def key_terms(threshold: float) -> list[int]:
+    """How many rare terms a key has, by the binary logarithm of the smaller set's size: as many as
+    keep the combinations of a set within bounds, three at most; the last number holds from there on."""
+    out = []
+    for g in range(8):
+        size = 2 ** (g + 1) - 1
+        spare = size - math.ceil(size * threshold - EPS)
+        out.append(max([m for m in (1, 2, 3) if m <= 2**g and math.comb(spare + m, m) <= MOST_KEYS], default=1))
+    return out
 
 
 def rare_keys(side: DataFrame, threshold: float, cells: list[str]) -> DataFrame:
@@ -73,12 +84,12 @@ def rare_keys(side: DataFrame, threshold: float, cells: list[str]) -> DataFrame:
 
     Sets are grouped by the binary logarithm g of the smaller size of a pair; a set is in the group
     of its own size and, if a similar set may be that much smaller, in the one below.  In group g keys
-    are combinations of m = KEY_TERMS[g] terms out of the first |x| - ceil(t |x|) + m, which hold the
+    are combinations of m = key_terms(t)[g] terms out of the first |x| - ceil(t |x|) + m, which hold the
     m rarest terms that two similar sets share."""
     band = F.floor(F.log2(F.col("size")) + EPS).cast("int")
     lower = (band > 0) & (_least(F.col("size"), threshold) < F.pow(F.lit(2), band))
     rows = side.withColumn("g", F.explode(F.when(lower, F.array(band, band - 1)).otherwise(F.array(band))))
-    many = F.least(_lookup(KEY_TERMS, F.col("g")), _least(F.pow(F.lit(2), F.col("g")), threshold).cast("int"))
+    many = F.least(_lookup(key_terms(threshold), F.col("g")), _least(F.pow(F.lit(2), F.col("g")), threshold).cast("int"))
     head = F.slice("terms", 1, (F.col("size") - _least(F.col("size"), threshold)).cast("int") + F.col("m"))
     rows = rows.withColumn("m", many).withColumn("head", head)
     keys = F.when(F.col("m") == 1, _hashes(F.col("head"), 1, F.col("g"))).when(F.col("m") == 2, _hashes(F.col("head"), 2, F.col("g"))).otherwise(_hashes(F.col("head"), 3, F.col("g")))
