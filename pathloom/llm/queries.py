@@ -9,7 +9,7 @@ from pathloom.functions.strings import match_key, record_code
 from pathloom.llm import bitmaps, components, distinctive, groups, mapping, mixing, packing, screening, setjoin
 from pathloom.llm.tokens import with_token_counts
 from pathloom.plans.course_tables import listed_names, packed_values
-from pathloom.runtime import bounded_rows, cut
+from pathloom.runtime import bounded_rows, cut, keep
 from pathloom.sources.tables import table
 
 
@@ -89,18 +89,35 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.similar_pairs(jobs, courses, 0.8).select(F.col("l_rec").alias("job_id"), F.col("r_rec").alias("code"))
 
 
+def _sides(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """rec, terms of the postings and of the courses that have skills."""
+    return [setjoin.record_sets(_skills(spark, folder, name), "rec", "term") for name in ("jobs_canonical", "courses_canonical")]
+
+
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Postings and courses that share at least 60 % of their skills, as classes of equal sets: job_id
-    and code are the smallest of their class, with the sizes of both classes and the agreement."""
-    sides = []
-    for name in ("jobs_canonical", "courses_canonical"):
-        sides.append(setjoin.record_sets(_skills(spark, folder, name), "rec", "term"))
+    and code are the smallest of their class, with the sizes of both classes and the agreement.
+    p4_members has all members of the classes."""
+    sides = _sides(spark, folder)
     pairs = setjoin.class_pairs(*(setjoin.classes(s) for s in sides), 0.6)
     l, r = (setjoin.members(s).groupBy("cls").agg(F.min("rec").alias("first"), F.count(F.lit(1)).alias("n")) for s in sides)
     out = pairs.join(l.toDF("l_cls", "job_id", "n_jobs"), "l_cls").join(r.toDF("r_cls", "code", "n_courses"), "r_cls")
     return out.select("job_id", "code", "n_jobs", "n_courses", F.round("similarity", 6).alias("agreement"))
 
 
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """side (job or course), rec, first of every posting and course with skills: `first`, the smallest
+    of the records with the same skills, stands for them in p4_pairs.  Joined to p4_pairs by `first`
+    on both sides, the rows give every pair of records."""
+    out = None
+    for side, sets in zip(("job", "course"), _sides(spark, folder), strict=True):
+        rows = keep(setjoin.members(sets))  # read for the classes' first records and for the rows
+        first = rows.groupBy("cls").agg(F.min("rec").alias("first"))
+        part = rows.join(first, "cls").select(F.lit(side).alias("side"), "rec", "first")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _students(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Stored clusters (rec, cluster_id), codes (rec, term) and similarity groups of the students that have a stored cluster."""
     stored = table(spark, folder, "students_clustered").where("student_id is not null and cluster_id is not null")
@@ -201,6 +218,6 @@ def p10_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_scores, p2_found, p2_frequencies, p3_found, p3_mapped, p4_found, p4_pairs, p6_found, p6_groups, p7_found,
+    p1_found, p1_scores, p2_found, p2_frequencies, p3_found, p3_mapped, p4_found, p4_pairs, p4_members, p6_found, p6_groups, p7_found,
     p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_agreement,
 )}

@@ -166,6 +166,29 @@ def test_triangle_bound():
         assert all(full[k] == pytest.approx(1 - jaccard(y, sets[k])) for k in range(10))
 
 
+def test_pairs_and_members_give_every_pair(spark, small, tmp_path):
+    """Postings and courses that share their set with a smaller id come back from p4_pairs by p4_members."""
+    from pathloom.llm.queries import _sides, p4_members, p4_pairs
+
+    for name in ("jobs_canonical", "courses_canonical", "skills_canonical"):
+        table = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "jobs_canonical":  # a hot set: a third of the postings are one posting again
+            hot = table.where("canonical_skills like '%;%'").orderBy("job_id").limit(1).select("canonical_skills").first()[0]
+            table = table.withColumn("canonical_skills", F.when(F.crc32("job_id") % 3 == 0, hot).otherwise(F.col("canonical_skills")))
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    members = [tuple(r) for r in p4_members(spark, str(tmp_path)).collect()]
+    first = {side: {} for side in ("job", "course")}
+    for side, rec, f in members:
+        first[side].setdefault(f, []).append(rec)
+    pairs = p4_pairs(spark, str(tmp_path)).collect()
+    assert all((len(first["job"][p["job_id"]]), len(first["course"][p["code"]])) == (p["n_jobs"], p["n_courses"]) for p in pairs)
+    got = [(j, c) for p in pairs for j in first["job"][p["job_id"]] for c in first["course"][p["code"]]]
+    sides = [[(r["rec"], set(r["terms"])) for r in s.collect()] for s in _sides(spark, str(tmp_path))]
+    assert len(members) == sum(map(len, sides)) and max(map(len, first["job"].values())) > 1
+    want = {(j, c) for (j, a), (c, b) in itertools.product(*sides) if a & b and len(a & b) / len(a | b) >= 0.6 - 1e-9}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(pairs)
+
+
 # ---- 6
 
 
