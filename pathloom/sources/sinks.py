@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,11 @@ def case_markdown(cases: list[dict]) -> str:
     return "\n".join(out)
 
 
-def report_html(title: str, tables: dict[str, DataFrame], most: int = 100) -> str:
-    """Report tables as one page; the first `most` rows of each are shown."""
+def report_html(title: str, tables: dict[str, DataFrame], most: int | None = 100) -> str:
+    """Report tables as one page; the first `most` rows of each are shown, all of them if it is None."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1>"]
     for name, df in tables.items():
-        parts.append(f"<h2>{name}</h2>" + df.limit(most).toPandas().to_html(index=False, escape=True))
+        shown = df if most is None else df.limit(most)
+        with pd.option_context("display.max_colwidth", None):  # else long cells are cut
+            parts.append(f"<h2>{name}</h2>" + shown.toPandas().to_html(index=False, escape=True))
     return "\n".join(parts)

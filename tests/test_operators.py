@@ -301,6 +301,12 @@ def test_cache_and_sinks(spark, tmp_path):
     assert "<table" in sinks.report_html("r", {"t": df.select("i")})
 
 
+def test_a_page_cuts_neither_rows_nor_cells(spark):
+    rows = [(i, f"{i}-" + "x" * 60) for i in range(150)]
+    page = sinks.report_html("r", {"t": spark.createDataFrame(rows, "i int, v string").orderBy("i")}, most=None)
+    assert [v in page for _, v in rows] == [True] * 150
+
+
 def test_split_group_rank(spark):
     df = spark.range(1000).selectExpr("id", "id % 3 g", "id div 100 part", "id % 5 w")
     df = df.union(spark.createDataFrame([(5000, None, 0, 1)], "id bigint, g bigint, part bigint, w bigint"))

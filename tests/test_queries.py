@@ -1,5 +1,6 @@
 """Every core query against its SQL on the smallest tables, and the plans of some."""
 
+import html
 import re
 
 import pytest
@@ -20,6 +21,12 @@ def test_the_others_run(spark, small, name):
     assert rows > 0 or name == "src_cache"
 
 
+def test_the_start_page_has_all_titles(spark, small):
+    page = QUERIES["api_index"](spark, small).first()["html"]
+    titles = sorted(r["title"] for r in QUERIES["api_careers"](spark, small).collect())
+    assert len(titles) > 100 and [html.unescape(t) for t in re.findall(r"<td>(.*?)</td>", page)] == titles
+
+
 def plan(spark, small, name):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     df = QUERIES[name](spark, small)
