@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.mentions import OWN_SHARE, OWN_VALUES, Mentions, plain
+from pathloom.llm.mentions import OWN_SHARE, OWN_UNNAMED, Mentions, plain
 from pathloom.runtime import bounded_rows, keep
 
 MAX_ENTRIES = 100_000
@@ -65,11 +65,25 @@ def own_words(distinct: DataFrame, listed: list, value: str) -> frozenset[str]:
     counts = distinct.mapInArrow(words, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     seen = keep(counts.mapInArrow(look, "word string, n bigint, target string, edits int").where("target is not null"))
     totals = seen.groupBy("target").agg(F.sum("n").alias("all"))
-    frequent = seen.where((F.col("edits") >= 2) & (F.col("n") >= OWN_VALUES))
-    own = frequent.join(totals, "target").where(F.col("n") >= OWN_SHARE * F.col("all"))
-    found = frozenset(r[0] for r in own.select("word").collect())
+    frequent = seen.where("edits >= 2").join(totals, "target").where(F.col("n") >= OWN_SHARE * F.col("all"))
+    candidates = frozenset(r[0] for r in frequent.select("word").collect())
     seen.unpersist()
-    return found
+    if not candidates:
+        return candidates
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = None
+        for batch in batches:
+            out, unnamed = [], []
+            for v in batch.column(0).to_pylist():
+                if held := candidates.intersection(plain(v).split()):
+                    matcher = matcher or Mentions(listed)
+                    out += held
+                    unnamed += [int(matcher.find(v)[0] == -1)] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(unnamed, pa.int32())], names=["word", "unnamed"])
+
+    shares = distinct.mapInArrow(read, "word string, unnamed int").groupBy("word").agg(F.avg("unnamed").alias("share"))
+    return frozenset(r[0] for r in shares.where(F.col("share") >= OWN_UNNAMED).select("word").collect())
 
 
 def mapped(rows: DataFrame, entries: DataFrame, *, value: str = "val", max_entries: int = MAX_ENTRIES) -> DataFrame:

@@ -31,9 +31,10 @@ WHOLE_ONLY = 6  # an alias of at most so many letters names an entry only as the
 MIN_TOKEN_SIMILARITY = 0.6
 MIN_SET_SIMILARITY = 0.7
 SAME_START = 0.01  # of two equally near words, the one with the same first letter is meant
-# A word two or more edits from a word of the list is a word of its own if so many values hold it and
-# it makes up such a share of all that looks like that word: one misspelling of many is rarer.
-OWN_VALUES, OWN_SHARE = 8, 0.05
+# A word two or more edits from a word of the list is a word of its own if it makes up such a share of
+# all that looks like that word, and such a share of its values would name no entry with that word in
+# its place: a misspelling stands where the list's word would stand.  Shares do not grow with the input.
+OWN_SHARE, OWN_UNNAMED = 0.05, 0.5
 
 
 def plain(text: str) -> str:

@@ -117,6 +117,16 @@ def test_own_words(spark):
     assert got["Rural Weddings"] == got["Naval Weddings"] == -1 and got["Rural Weldingss"] == 1 and got["Naval Wleidng"] == 2
 
 
+@pytest.mark.parametrize("copies", [1, 8])
+def test_own_words_at_any_size(spark, copies):
+    """The same share of values decides alike in few values and in many."""
+    places = [p if not k else f"{p}{'x' * k}" for p in ("Blue", "Green", "Odd") for k in range(copies)]
+    entries = frame(spark, [(1, "Rural Welding", []), (2, "Naval Welding", [])], "id int, name string, aliases array<string>")
+    rows = frame(spark, [(f"{p} Weddings",) for p in (*places, "Rural", "Naval")] + [("Rural Weldingss",), ("Naval Wleidng",)], "val string")
+    got = {r["val"]: r["entry_id"] for r in mapping.map_values(rows, entries).collect()}
+    assert got["Rural Weddings"] == got["Naval Weddings"] == -1 and got["Rural Weldingss"] == 1 and got["Naval Wleidng"] == 2
+
+
 # ---- 4
 
 
