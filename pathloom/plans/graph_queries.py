@@ -481,6 +481,14 @@ def r_recommend(s, d):
     return _recommended(s, d)[1]
 
 
+@query()
+def r_recommend_settled(s, d):
+    """r_recommend with PageRank run until it settles (as the reference does) instead of a fixed number of rounds."""
+    g = I.request_graph(s, d)
+    g = graph.CareerGraph(g.nodes, cut(g.edges))
+    return ranking.recommend(ranking.pagerank(g.edges, _seeds(s, d), n_nodes=g.nodes.count()), g.edges)
+
+
 @query(with_sql("SELECT seed, course FROM recs WHERE rank <= 3"))
 def topk(s, d):
     return _recommended(s, d)[1].where("rank <= 3").select("seed", "course")
