@@ -143,8 +143,10 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every linked skill.  Ids of skills_canonical link skills and may name a group, but are no skills."""
     links = table(spark, folder, "skill_matches").where(match_key("decision") == "match")
-    return components.connected_groups(links, "left_id", "right_id").select(F.col("group").alias("group_id"), F.col("vertex").alias("skill_id"))
+    grouped = components.connected_groups(links, "left_id", "right_id").select(F.col("group").alias("group_id"), F.col("vertex").alias("skill_id"))
+    return grouped.join(table(spark, folder, "skill_taxonomy").select("skill_id").distinct(), "skill_id", "left_semi").select("group_id", "skill_id")
 
 
 def _source_key(c: str):

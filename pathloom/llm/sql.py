@@ -13,5 +13,5 @@ SQL: dict[str, str] = {
     "p7_found": r"""WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT left_id AS a, right_id AS b FROM skill_matches WHERE lower(trim(regexp_replace(decision, '\s+', ' ', 'g'))) = 'match' AND left_id IS NOT NULL AND right_id IS NOT NULL AND left_id <> right_id),
         e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v)
-        SELECT min(g) AS group_id, v AS skill_id FROM r GROUP BY v""",
+        SELECT min(g) AS group_id, v AS skill_id FROM r WHERE v IN (SELECT skill_id FROM skill_taxonomy) GROUP BY v""",
 }

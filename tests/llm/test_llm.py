@@ -275,6 +275,17 @@ def test_components_against_union_find(spark, links):
     assert {r["vertex"]: r["group"] for r in got} == union_find(links) and len(got) == len(union_find(links))
 
 
+def test_found_groups_are_of_skills(spark, tmp_path):
+    """A canonical id links two skills and names their group, but has no row."""
+    from pathloom.llm.queries import p7_found
+
+    links = [("skill_01", "7", " MATCH"), ("skill_02", "7", "match"), ("skill_03", "skill_04", "match "), ("skill_05", "skill_05", "match"), ("skill_06", "8", "reject"), ("9", None, "match")]
+    frame(spark, links, "left_id string, right_id string, decision string").write.parquet(str(tmp_path / "skill_matches.parquet"))
+    frame(spark, [(f"skill_0{k}",) for k in (1, 1, 2, 3, 4, 5, 6)] + [(None,)], "skill_id string").write.parquet(str(tmp_path / "skill_taxonomy.parquet"))
+    got = sorted(tuple(r) for r in p7_found(spark, str(tmp_path)).collect())
+    assert got == [("7", "skill_01"), ("7", "skill_02"), ("skill_03", "skill_03"), ("skill_03", "skill_04")]
+
+
 # ---- 8
 
 
