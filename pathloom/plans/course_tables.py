@@ -18,11 +18,12 @@ def listed_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(r[0] for r in bounded_rows(names, MAX_LISTED, "skills_canonical"))
 
 
-def packed_values(spark: SparkSession, folder: str, name: str, protected: list[str] | None = None) -> DataFrame:
+def packed_values(spark: SparkSession, folder: str, name: str, protected: list[str] | None = None, *, repeats: bool = False) -> DataFrame:
     """rec, pos, val of the packed field of one table; repeated rows count once.
 
     A record without a value has no row.  Rows of one record that differ in the packed field
-    both count."""
+    both count.  With `repeats` repeated rows stay, for uses that fold values later anyway: it saves
+    a shuffle."""
     df = table(spark, folder, name)
     field, rec, delimiters = {
         "courses_skills": ("extracted_skills", record_code("code"), VALUE_DELIMITERS),
@@ -34,8 +35,8 @@ def packed_values(spark: SparkSession, folder: str, name: str, protected: list[s
     }[name]
     if protected is None:
         protected = listed_names(spark, folder) if delimiters is VALUE_DELIMITERS else []
-    rows = df.select(rec.alias("rec"), F.col(field).alias("packed")).where("packed is not null").distinct()
-    return unpack(rows, "packed", delimiters=delimiters, protected=protected)
+    rows = df.select(rec.alias("rec"), F.col(field).alias("packed")).where("packed is not null")
+    return unpack(rows if repeats else rows.distinct(), "packed", delimiters=delimiters, protected=protected)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -322,3 +322,33 @@ def test_trend_on_a_stream(spark, tmp_path):
     q = skill_trend(stream, time="t", skills="s").writeStream.format("memory").queryName("trend").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r["start"]), r["skill"]): r["n"] for r in spark.table("trend").collect()} == batch
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.8, 1.0])
+def test_similar_sets_by_any_keys(spark, threshold):
+    """The number of terms in a key moves cost only: every number gives all pairs, as brute force does."""
+    import itertools
+    import random
+
+    from pathloom.operators.overlap import KeyPlan, choose_key_terms, encoded, prefix_pairs, term_ranks
+
+    random.seed(11)
+    base = [{random.randrange(60) for _ in range(random.choice((1, 2, 3, 5, 9, 14, 30)))} for _ in range(40)]
+    sets = {f"s{i}": (random.choice(base) ^ {random.randrange(60) for _ in range(random.randrange(3))}) or {0} for i in range(120)}
+    rows = spark.createDataFrame([(k, f"t{x}") for k, v in sets.items() for x in v] + [(None, "t1"), ("n", None)], "cls string, val string")
+    coded = encoded(rows, term_ranks(rows), "cls").cache()
+    assert 1 <= choose_key_terms(coded, coded, threshold) <= 3 and choose_key_terms(coded.where("false"), coded, threshold) == 1
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold - 1e-9}
+    for terms in (None, 1, 2, 3):
+        assert {(r["l_cls"], r["r_cls"]) for r in prefix_pairs(coded, coded, threshold, below=True, most_terms=terms).collect()} == want
+    assert KeyPlan(threshold).numbers(5000) and prefix_pairs(coded.where("false"), coded, threshold).count() == 0
+
+
+def test_terms_read_alike_are_one(spark):
+    from pyspark.sql import functions as F
+
+    from pathloom.operators.overlap import encoded, term_ranks
+
+    rows = spark.createDataFrame([(1, "A b"), (1, "a B"), (2, "c")], "rec int, val string")
+    got = {r["rec"]: len(r["terms"]) for r in encoded(rows, term_ranks(rows, key=F.lower), "rec").collect()}
+    assert got == {1: 1, 2: 1}
