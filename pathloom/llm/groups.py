@@ -14,17 +14,16 @@ is a group of its own; ties of degree go to the smaller record; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm.components import connected_groups
-from pathloom.llm.setjoin import record_sets, set_class
-from pathloom.operators.overlap import EPS, MASKS, by_rarity, may_be_similar, prefix_pairs
+from pathloom.operators.overlap import EPS, MASKS, encoded, masks, may_be_similar, mixed, prefix_pairs, term_ranks, verified
 from pathloom.runtime import cut, keep
 
 BANDS, ROWS = 28, 8  # at a similarity of 0.8 a pair meets in some band with probability 0.994
@@ -35,66 +34,59 @@ STATIC_ROUNDS = 16
 def numbered_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls, terms, n, first) with cls a number per distinct set, n its records and first the smallest
     of them; and (rec, cls)."""
-    keyed = keep(sets.withColumn("key", set_class()))
-    one = keyed.groupBy("key").agg(F.any_value("terms").alias("terms"), F.count(F.lit(1)).alias("n"), F.min("rec").alias("first"))
+    one = sets.groupBy("terms").agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("first"))
     one = cut(one.withColumn("cls", F.monotonically_increasing_id()))
-    return one.drop("key"), cut(keyed.select("rec", "key").join(one.select("key", "cls"), "key").drop("key"))
+    return one, cut(sets.join(one.select("terms", "cls"), "terms").select("rec", "cls"))
 
 
 def band_keys(one: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """cls, size, masks, band, key of every class."""
+    """cls, size, masks, key of every class, a key for every band; keys of different bands differ."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
     mix = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
-    fields = f"cls bigint, size int, {', '.join(f'{m} bigint' for m in MASKS)}, band int, key bigint"
+    fields = f"cls bigint, size int, {', '.join(f'{m} bigint' for m in MASKS)}, key bigint"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for big in batches:
             for a in range(0, big.num_rows, 1024):
                 batch = big.slice(a, 1024)
-                sets = batch.column("set")
+                sets = batch.column("terms")
                 offsets = sets.offsets.to_numpy()
-                h = sets.flatten().to_numpy().view(np.uint64)
+                flat, n = sets.flatten().to_numpy(zero_copy_only=False), len(sets)
                 begins = offsets[:-1] - offsets[0]
-                bit = h & np.uint64(255)
-                one_bit = np.uint64(1) << (bit & np.uint64(63))
-                masks = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == w, one_bit, np.uint64(0)), begins).view(np.int64) for w in range(len(MASKS))]
-                h = h ^ (h >> np.uint64(29))
-                low = np.empty((len(sets), bands * rows), np.uint64)
+                words = masks(flat, begins)
+                h = mixed(flat.astype(np.uint64) + np.uint64(1))
+                low = np.empty((n, bands * rows), np.uint64)
                 for k in range(bands * rows):
                     low[:, k] = np.minimum.reduceat((h * mult[k] + add[k]) >> np.uint64(16), begins)
-                n = len(sets)
-                keys = (low.reshape(n, bands, rows) * mix).sum(axis=2, dtype=np.uint64)
-                keys = (keys ^ (keys >> np.uint64(31))).view(np.int64)
-                at = pa.array(np.repeat(np.arange(n), bands))
-                size = np.repeat(np.diff(offsets).astype(np.int32), bands)
-                rows_ = [batch.column("cls").take(at), pa.array(size), *(pa.array(np.repeat(m, bands)) for m in masks), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.reshape(-1))]
-                yield pa.RecordBatch.from_arrays(rows_, names=["cls", "size", *MASKS, "band", "key"])
+                keys = mixed((low.reshape(n, bands, rows) * mix).sum(axis=2, dtype=np.uint64) + band).view(np.int64)
+                at = np.repeat(np.arange(n), bands)
+                size = np.diff(offsets).astype(np.int32)
+                rows_ = [batch.column("cls").take(pa.array(at)), pa.array(size[at]), *(pa.array(m[at]) for m in words), pa.array(keys.reshape(-1))]
+                yield pa.RecordBatch.from_arrays(rows_, names=["cls", "size", *MASKS, "key"])
 
-    hashed = one.select("cls", F.array_sort(F.transform("terms", lambda x: F.xxhash64(x))).alias("set"))
-    return hashed.mapInArrow(sign, T.StructType.fromDDL(fields))
+    return one.select("cls", "terms").mapInArrow(sign, T.StructType.fromDDL(fields))
 
 
 def similar_class_pairs(one: DataFrame, threshold: float = 0.8, *, bands: int = BANDS, rows: int = ROWS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """l, r, similarity: verified pairs of classes, l < r."""
+    """l, r, similarity: verified pairs of classes (cls, terms in numbers), l < r."""
     keyed = band_keys(one, bands, rows)
-    sizes = cut(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    fair = keyed.join(sizes.where(F.col("m") <= bucket_cap).drop("m"), ["band", "key"])
+    # keys of crowded buckets: each holds over `bucket_cap` rows, so they are few beside the rows
+    crowded = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bucket_cap).select("key"))
+    some = not crowded.isEmpty()
+    fair = keyed.join(crowded, "key", "left_anti") if some else keyed
     own = ["cls", "size", *MASKS]
-    l = fair.select("band", "key", *(F.col(c).alias(f"l_{c}") for c in own))
-    r = fair.select("band", "key", *(F.col(c).alias(f"r_{c}") for c in own))
-    met = l.join(r, ["band", "key"]).where("l_cls < r_cls").where(may_be_similar(threshold)).select("l_cls", "r_cls").distinct()
+    l = fair.select("key", *(F.col(c).alias(f"l_{c}") for c in own))
+    r = fair.select("key", *(F.col(c).alias(f"r_{c}") for c in own))
+    met = l.join(r, "key").where("l_cls < r_cls").where(may_be_similar(threshold)).select("l_cls", "r_cls").distinct()
     sets = one.select("cls", "terms")
-    met = met.join(sets.toDF("l_cls", "ls"), "l_cls").join(sets.toDF("r_cls", "rs"), "r_cls")
-    shared = F.size(F.array_intersect("ls", "rs"))
-    met = met.withColumn("similarity", shared / (F.size("ls") + F.size("rs") - shared)).where(F.col("similarity") >= threshold - EPS)
-    pairs = met.select(F.col("l_cls").alias("l"), F.col("r_cls").alias("r"), "similarity")
-    crowded = keyed.join(sizes.where(F.col("m") > bucket_cap).drop("m"), ["band", "key"]).select("cls").distinct()
-    rest = one.join(crowded, "cls", "left_semi").select("cls", "terms")
-    frequency = rest.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    rest = by_rarity(rest, frequency)
-    exact = prefix_pairs(rest, rest, threshold, below=True).select(F.col("l_cls").alias("l"), F.col("r_cls").alias("r"), "similarity")
+    pairs = verified(met, sets, sets, threshold).toDF("l", "r", "similarity")
+    if not some:
+        return pairs
+    rest = cut(sets.join(keyed.join(crowded, "key", "left_semi").select("cls").distinct(), "cls", "left_semi"))
+    exact = prefix_pairs(rest, rest, threshold, below=True).toDF("l", "r", "similarity")
     return pairs.unionAll(exact).groupBy("l", "r").agg(F.max("similarity").alias("similarity"))
 
 
@@ -133,20 +125,29 @@ def medoid_split(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def similar_groups(terms: DataFrame, record: str, term: str, threshold: float = 0.8, **options) -> dict[str, DataFrame]:
-    """`records`: rec, cls, group, component, similarity (to the group's medoid), n_terms; `classes`: cls,
-    terms, n, first.
+def value_groups(values: DataFrame, threshold: float = 0.8, *, key: Callable[[Column], Column] | None = None, **options) -> dict[str, DataFrame]:
+    """Groups of the records of `values` (rec, val); values are one term if `key` reads them alike.
+
+    `records`: rec, cls, group, component, medoid (a cls), similarity (to the group's medoid), n_terms;
+    `classes`: cls, terms, n, first; `sets`: rec, terms; `ranks`: val, r, the numbers of the terms.
 
     `group` is the smallest record that has the medoid's set, `component` the number of the component
     before it was split (null for a set that is similar to no other)."""
-    one, records = numbered_classes(record_sets(terms, record, term))
+    ranks = term_ranks(values, key=key)
+    sets = keep(encoded(values, ranks, "rec"))
+    one, records = numbered_classes(sets)
     pairs = cut(similar_class_pairs(one, threshold, **options))
     whole = connected_groups(pairs, "l", "r").select(F.col("vertex").cast("bigint").alias("v"), F.col("group").alias("component"))
     split = medoid_split(pairs)
-    placed = one.select("cls", "first", F.size("terms").alias("n_terms")).join(split.withColumnRenamed("v", "cls"), "cls", "left").join(whole.withColumnRenamed("v", "cls"), "cls", "left")
+    placed = one.select("cls", F.size("terms").alias("n_terms")).join(split.withColumnRenamed("v", "cls"), "cls", "left").join(whole.withColumnRenamed("v", "cls"), "cls", "left")
     placed = placed.select("cls", "n_terms", "component", F.coalesce("medoid", "cls").alias("medoid"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     named = cut(placed.join(one.select(F.col("cls").alias("medoid"), F.col("first").alias("group")), "medoid"))
-    return {"records": records.join(named.drop("medoid"), "cls"), "classes": one}
+    return {"records": records.join(named, "cls"), "classes": one, "sets": sets, "ranks": ranks}
+
+
+def similar_groups(terms: DataFrame, record: str, term: str, threshold: float = 0.8, **options) -> dict[str, DataFrame]:
+    """Groups of records given by one row per record and term (see value_groups)."""
+    return value_groups(terms.select(F.col(record).alias("rec"), F.col(term).alias("val")), threshold, **options)
 
 
 def describe_groups(records: DataFrame, typical: int = 3) -> DataFrame:
@@ -158,25 +159,50 @@ def describe_groups(records: DataFrame, typical: int = 3) -> DataFrame:
     return size.join(top, "group")
 
 
-def typical_terms(labelled: DataFrame, terms: DataFrame, *, label: str, share: float = 0.1) -> DataFrame:
+def typical_of_sets(labelled: DataFrame, sets: DataFrame, *, label: str, share: float = 0.1) -> DataFrame:
     """label, term: terms that at least `share` of the records labelled so hold.
 
-    labelled: rec, label (one row per record); terms: rec, term (distinct)."""
-    labelled, terms = labelled.select("rec", label), terms.select("rec", "term")
+    labelled: rec, label (one row per record); sets: rec, terms."""
+    labelled, sets = labelled.select("rec", label), sets.select("rec", "terms")
     n = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    held = terms.join(labelled, "rec").groupBy(label, "term").agg(F.count(F.lit(1)).alias("_k"))
+    held = sets.join(labelled, "rec").select(label, F.explode("terms").alias("term")).groupBy(label, "term").agg(F.count(F.lit(1)).alias("_k"))
     return held.join(n, label).where(F.col("_k") >= share * F.col("_n") - EPS).select(label, "term")
 
 
+def _held(classes: DataFrame, typical: DataFrame) -> DataFrame:
+    """cls, held: how many typical terms of each label a set holds, labels without one left out."""
+    rows = classes.select("cls", F.explode("terms").alias("r")).join(typical, "r")
+    return rows.groupBy("cls", "_label").agg(F.count(F.lit(1)).alias("k")).groupBy("cls").agg(F.collect_list(F.struct("_label", "k")).alias("held"))  # one entry per label
+
+
+def _margin(label: str):
+    """By how many typical terms the best other label beats a record's own; 0 where it holds none."""
+    held = F.coalesce("held", F.array().cast("array<struct<_label:string,k:bigint>>"))
+    own = F.aggregate(held, F.lit(0).cast("bigint"), lambda s, x: F.when(x["_label"] == F.col(label).cast("string"), x["k"]).otherwise(s))
+    other = F.aggregate(held, F.lit(0).cast("bigint"), lambda s, x: F.when(x["_label"] != F.col(label).cast("string"), F.greatest(s, x["k"])).otherwise(s))
+    return other - own
+
+
 def misplaced(groups: dict[str, DataFrame], labelled: DataFrame, typical: DataFrame, *, label: str) -> DataFrame:
-    """Records of the clusters that hold more typical terms of another label than of their own.
-
-    Worked out once per distinct set and label, then handed to the members."""
-    labelled, typical = labelled.select("rec", label), typical.select(label, "term")
-    flat = groups["classes"].select("cls", F.explode("terms").alias("term")).join(typical.withColumnRenamed(label, "_label"), "term")
-    counts = flat.groupBy("cls", "_label").agg(F.count(F.lit(1)).alias("k"))
-    best = counts.groupBy("cls").agg(F.collect_list(F.struct("_label", "k")).alias("held"))  # one entry per label
-    rows = groups["records"].join(labelled, "rec").join(best, "cls")
-    own = F.aggregate("held", F.lit(0).cast("bigint"), lambda s, x: F.when(x["_label"] == F.col(label), x["k"]).otherwise(s))
-    rows = rows.withColumn("_own", own)
-    return rows.where(F.exists("held", lambda x: (x["_label"] != F.col(label)) & (x["k"] > F.col("_own")))).select("rec", "group", label)
+    """Records of the clusters that hold more typical terms of another label than of their own; `typical`
+    has label and term, in the groups' numbers.
+
+    A cluster is judged by its medoid, once per label: a margin between two labels differs between
+    two sets by no more than the terms in which they differ, |x| + |y| - 2 |x and y|, which size and similarity
+    tell.  Members whose medoid's margin is wider than that are settled with it; the sets of the others
+    are counted themselves.  Records without a label or a set are left out."""
+    labelled = labelled.select("rec", label).where(F.col(label).isNotNull())
+    typical = typical.select(F.col("term").alias("r"), F.col(label).cast("string").alias("_label"))
+    typical = keep(typical)  # a term is typical of few labels, a label has few typical terms
+    own = groups["records"].select("rec", "cls", "group", "medoid", "similarity", "n_terms")
+    heads = own.select(F.col("medoid").alias("cls")).distinct()
+    sizes = groups["classes"].select(F.col("cls").alias("medoid"), F.size("terms").alias("_size"))
+    judged = _held(groups["classes"].join(heads, "cls", "left_semi"), typical).withColumnRenamed("cls", "medoid")
+    rows = own.join(labelled, "rec").join(sizes, "medoid").join(judged, "medoid", "left")
+    differ = F.round((F.col("n_terms") + F.col("_size")) * (1 - F.col("similarity")) / (1 + F.col("similarity"))).cast("bigint")
+    rows = rows.select("rec", "cls", "group", label, _margin(label).alias("_margin"), differ.alias("_differ"))
+    rows = keep(rows.where(F.col("_margin") + F.col("_differ") > 0))  # the others are where they belong
+    sure = rows.where(F.col("_margin") > F.col("_differ")).select("rec", "group", label)
+    doubt = rows.where(F.col("_margin") <= F.col("_differ")).select("rec", "cls", "group", label)
+    counted = _held(groups["classes"].join(doubt.select("cls").distinct(), "cls", "left_semi"), typical)
+    return sure.unionByName(doubt.join(counted, "cls").where(_margin(label) > 0).select("rec", "group", label))

@@ -83,25 +83,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("rec").alias("code"), F.col("val").alias("raw_skill"), F.col("entry_id").alias("canonical_skill_id"))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = setjoin.record_sets(_skills(spark, folder, "jobs_canonical"), "rec", "term")
-    courses = setjoin.record_sets(_skills(spark, folder, "courses_canonical"), "rec", "term")
-    return setjoin.similar_pairs(jobs, courses, 0.8).select(F.col("l_rec").alias("job_id"), F.col("r_rec").alias("code"))
+def _sides(spark: SparkSession, folder: str) -> list[setjoin.Side]:
+    """The postings and the courses that have skills, as sets."""
+    names = listed_names(spark, folder)
+    rows = (packed_values(spark, folder, name, names, repeats=True) for name in ("jobs_canonical", "courses_canonical"))
+    return setjoin.coded_sides(*rows, key=match_key)
 
 
-def _sides(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """rec, terms of the postings and of the courses that have skills."""
-    return [setjoin.record_sets(_skills(spark, folder, name), "rec", "term") for name in ("jobs_canonical", "courses_canonical")]
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.record_pairs(*_sides(spark, folder), 0.8).select(F.col("l_rec").alias("job_id"), F.col("r_rec").alias("code"))
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Postings and courses that share at least 60 % of their skills, as classes of equal sets: job_id
     and code are the smallest of their class, with the sizes of both classes and the agreement.
     p4_members has all members of the classes."""
-    sides = _sides(spark, folder)
-    pairs = setjoin.class_pairs(*(setjoin.classes(s) for s in sides), 0.6)
-    l, r = (setjoin.members(s).groupBy("cls").agg(F.min("rec").alias("first"), F.count(F.lit(1)).alias("n")) for s in sides)
-    out = pairs.join(l.toDF("l_cls", "job_id", "n_jobs"), "l_cls").join(r.toDF("r_cls", "code", "n_courses"), "r_cls")
+    jobs, courses = _sides(spark, folder)
+    pairs = keep(setjoin.class_pairs(jobs.classes, courses.classes, 0.6))
+    out = pairs
+    for side, cls, rec, n in ((jobs, "l_cls", "job_id", "n_jobs"), (courses, "r_cls", "code", "n_courses")):
+        rows = side.members(pairs.select(F.col(cls).alias("cls")))
+        out = out.join(rows.groupBy(F.col("cls").alias(cls)).agg(F.min("rec").alias(rec), F.count(F.lit(1)).alias(n)), cls)
     return out.select("job_id", "code", "n_jobs", "n_courses", F.round("similarity", 6).alias("agreement"))
 
 
@@ -110,31 +112,30 @@ def p4_members(spark: SparkSession, folder: str) -> DataFrame:
     of the records with the same skills, stands for them in p4_pairs.  Joined to p4_pairs by `first`
     on both sides, the rows give every pair of records."""
     out = None
-    for side, sets in zip(("job", "course"), _sides(spark, folder), strict=True):
-        rows = keep(setjoin.members(sets))  # read for the classes' first records and for the rows
-        first = rows.groupBy("cls").agg(F.min("rec").alias("first"))
-        part = rows.join(first, "cls").select(F.lit(side).alias("side"), "rec", "first")
+    for name, side in zip(("job", "course"), _sides(spark, folder), strict=True):
+        first = side.coded.groupBy("terms").agg(F.min("rec").alias("first"))
+        part = side.coded.join(first, "terms").select(F.lit(name).alias("side"), "rec", "first")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _students(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Stored clusters (rec, cluster_id), codes (rec, term) and similarity groups of the students that have a stored cluster."""
+def _students(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Stored clusters (rec, cluster_id) and similarity groups of the students that have a stored cluster."""
     stored = table(spark, folder, "students_clustered").where("student_id is not null and cluster_id is not null")
     stored = stored.groupBy(F.col("student_id").alias("rec")).agg(F.min("cluster_id").alias("cluster_id"))
-    codes = packed_values(spark, folder, "students_clustered").select("rec", record_code("val").alias("term")).where("rec is not null").repartition("rec").distinct()
-    return stored, codes, groups.similar_groups(codes, "rec", "term", 0.8)
+    codes = packed_values(spark, folder, "students_clustered", repeats=True)
+    return stored, groups.value_groups(codes, 0.8, key=record_code)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    stored, codes, grouped = _students(spark, folder)
-    typical = groups.typical_terms(stored, codes, label="cluster_id")
+    stored, grouped = _students(spark, folder)
+    typical = groups.typical_of_sets(stored, grouped["sets"], label="cluster_id")
     return groups.misplaced(grouped, stored, typical, label="cluster_id").select(F.col("rec").alias("student_id"))
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """group_id, n_students, mean_similarity, typical_students, stored_cluster (the most frequent one) and its share."""
-    stored, _, grouped = _students(spark, folder)
+    stored, grouped = _students(spark, folder)
     described = groups.describe_groups(grouped["records"])
     by = grouped["records"].join(stored, "rec").groupBy("group", "cluster_id").agg(F.count(F.lit(1)).alias("k"))
     top = by.groupBy("group").agg(F.max_by("cluster_id", F.struct("k", -F.col("cluster_id"))).alias("stored_cluster"), (F.max("k") / F.sum("k")).alias("share"))

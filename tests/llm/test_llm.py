@@ -167,13 +167,11 @@ def test_set_join_against_brute_force(spark, threshold):
 
 def test_triangle_bound():
     random.seed(3)
-    sets = [s for _, s in random_sets(60, "x", 30)]
+    sets = [sorted(int(t[1:]) for t in s) for _, s in random_sets(60, "x", 30)]
     p = setjoin.Pivots(sets[:10])
-    for y in sets:
-        near, d = p.distances(y)
-        full = np.ones(10)
-        full[near] = d
-        assert all(full[k] == pytest.approx(1 - jaccard(y, sets[k])) for k in range(10))
+    full = p.distances(np.array([t for s in sets for t in s]), np.cumsum([0, *map(len, sets)]))
+    assert all(full[i, k] == pytest.approx(1 - jaccard(y, sets[k])) for i, y in enumerate(sets) for k in range(10))
+    assert setjoin.Pivots([]).distances(np.array([1, 2]), np.array([0, 2])).shape == (1, 0)
 
 
 def test_pairs_and_members_give_every_pair(spark, small, tmp_path):
@@ -193,7 +191,7 @@ def test_pairs_and_members_give_every_pair(spark, small, tmp_path):
     pairs = p4_pairs(spark, str(tmp_path)).collect()
     assert all((len(first["job"][p["job_id"]]), len(first["course"][p["code"]])) == (p["n_jobs"], p["n_courses"]) for p in pairs)
     got = [(j, c) for p in pairs for j in first["job"][p["job_id"]] for c in first["course"][p["code"]]]
-    sides = [[(r["rec"], set(r["terms"])) for r in s.collect()] for s in _sides(spark, str(tmp_path))]
+    sides = [[(r["rec"], set(r["terms"])) for r in s.coded.collect()] for s in _sides(spark, str(tmp_path))]
     assert len(members) == sum(map(len, sides)) and max(map(len, first["job"].values())) > 1
     want = {(j, c) for (j, a), (c, b) in itertools.product(*sides) if a & b and len(a & b) / len(a | b) >= 0.6 - 1e-9}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > len(pairs)
@@ -233,9 +231,11 @@ def test_misplaced(spark):
     people = {f"a{i}": ("x", ["p", "q", "r"]) for i in range(10)} | {f"b{i}": ("y", ["s", "t", "u"]) for i in range(10)} | {"w": ("x", ["s", "t", "p"]), "v": ("y", ["p", "s"])}
     rows = frame(spark, [(r, t) for r, (_, ts) in people.items() for t in ts], "rec string, term string")
     labels = frame(spark, [(r, k) for r, (k, _) in people.items()] + [("nothing", "x")], "rec string, k string")
-    typical = groups.typical_terms(labels, rows, label="k", share=0.5)
-    assert {tuple(r) for r in typical.collect()} == {("x", t) for t in "pqr"} | {("y", t) for t in "stu"}
-    got = groups.misplaced(groups.similar_groups(rows, "rec", "term"), labels, typical, label="k")
+    grouped = groups.similar_groups(rows, "rec", "term")
+    typical = groups.typical_of_sets(labels, grouped["sets"], label="k", share=0.5)
+    named = typical.join(grouped["ranks"], typical["term"] == grouped["ranks"]["r"])
+    assert {(r["k"], r["val"]) for r in named.collect()} == {("x", t) for t in "pqr"} | {("y", t) for t in "stu"}
+    got = groups.misplaced(grouped, labels, typical, label="k")
     assert [r["rec"] for r in got.collect()] == ["w"]
 
 
@@ -403,7 +403,7 @@ def test_columns_of_the_same_names(spark):
     terms = frame(spark, [("r", "t", 1, 2.0, 3)], "rec string, term string, tf int, score double, doc_freq int")
     assert distinctive.distinctive_terms(terms, terms).count() == 1
     assert bitmaps.term_frequencies(terms, record="rec", term="term", weight="score").first()["weight"] == 2.0
-    sets = setjoin.record_sets(terms.withColumn("cls", F.lit(1)), "rec", "term")
+    sets = terms.withColumn("cls", F.lit(1)).groupBy("rec").agg(F.collect_set("term").alias("terms"))
     assert setjoin.similar_pairs(sets, sets).count() == 1
     assert groups.similar_groups(terms.withColumn("cls", F.lit(1)), "rec", "term")["records"].first()["group"] == "r"
     targets = frame(spark, [("s", 1.0, 1, 5)], "source string, target_share double, max_repeats int, tokens int")
