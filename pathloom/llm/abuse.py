@@ -271,9 +271,13 @@ GRAMMAR: dict[str, str] = {
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible signs or look-alike letters."""
+    if text.isascii():
+        return text.lower()
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold().translate(LOOKALIKES)
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFD", text)
-    return "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
+    return text.translate({ord(c): None for c in set(text) if unicodedata.combining(c)})
 
 
 CLAUSE = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|[\r\n]+|;\s")
@@ -282,6 +286,8 @@ WORD = re.compile(r"[^\W_][\w*@$!€']*[\w*]|[^\W_]", re.U)
 HYPHENED = re.compile(r"[^\W_]+-[\w*@$!]+")
 # Words outside the lexicon that are written with stars.
 STARRED = ("hate", "fuck", "shit", "fucking", "sex", "piece", "waste", "space", "hell", "steal", "human")
+# Words of four letters and more that any text is full of.
+COMMON = frozenset("that this with from they them will your have what when there their would should could about which people like then than into over know want like need these those some such just only very".split())
 STRETCH = re.compile(r"(.)\1{2,}")
 RUN = re.compile(r"(.)\1+")
 
@@ -376,6 +382,7 @@ class Automaton:
                 self.skips[state].append(new)
             state = new
         self.final = state
+        self.needs = [frozenset(i.split("|")) for i in items if not i.startswith("..") and i[-1] not in "?*"]
         self.first = self._closure({0})
         self.starts = frozenset(n for s in self.first for names, _ in self.arcs[s] if names for n in names)
 
@@ -407,7 +414,10 @@ class Automaton:
 
 
 class Grammar:
-    """All patterns, indexed by the words and classes they start with."""
+    """All patterns, indexed by the words and classes they start with.
+
+    A pattern is tried on a clause only if the clause holds its telling item: of the items it cannot do
+    without, the one that common talk holds least."""
 
     def __init__(self, grammar: dict[str, str] = GRAMMAR, lexicon: dict[str, str] = LEXICON):
         self.patterns = []
@@ -418,50 +428,64 @@ class Grammar:
                 self.patterns.append(Automaton(kind, float(weight), items))
                 words |= {n for i in items if not i.startswith("..") for n in i.rstrip("?*").split("|") if n.islower()}
         self.lexicon = Lexicon(lexicon, words)
-        self.by_start: dict[str, list[Automaton]] = {}
-        for p in self.patterns:
+        self.by_start: dict[str, list[int]] = {}
+        self.by_telling: dict[str, list[int]] = {}
+        for k, p in enumerate(self.patterns):
             for name in p.starts:
-                self.by_start.setdefault(name, []).append(p)
-
-    def words(self, clause: str) -> list[tuple[str, ...]]:
-        """The words of a plain clause, each as the words it may stand for."""
-        clause = SPACED.sub(lambda m: m.group().replace(m.group(1), ""), clause)
-        clause = HYPHENED.sub(self._joined, clause)
-        out = []
-        for w in WORD.findall(clause):
-            r = self.lexicon.read(w)
-            if r != (w,) or w in self.lexicon.known:
-                out.append(r)
-            elif "'" in w:
-                out += [self.lexicon.read(x) for x in w.split("'") if x]
-            elif len(w) > 3 and (two := self.lexicon.halves(w)):
-                out += [(x,) for x in two]
-            else:
-                out.append(r)
-        return out
+                self.by_start.setdefault(name, []).append(k)
+            telling = min(p.needs, key=lambda names: (max(map(self._commonness, names)), sum(map(self._commonness, names)) / len(names), sorted(names)))
+            for name in telling | ({"FOLK"} if "GROUP" in telling else set()):  # people may be a group by the word before
+                self.by_telling.setdefault(name, []).append(k)
+        self.tokens: dict[str, tuple[frozenset[int], tuple[frozenset[str], ...]]] = {}
+
+    @staticmethod
+    def _commonness(name: str) -> int:
+        if name.isupper():
+            return {"PERSON": 9, "NOT": 9, "FOLK": 8, "SAYING": 7, "GROUP": 6, "HURT": 3}.get(name, 2)
+        return 9 if len(name) < 4 or name in COMMON else 4 if len(name) < 6 else 1
+
+    def token(self, w: str) -> tuple[frozenset[int], tuple[frozenset[str], ...]]:
+        """The patterns whose telling item a token is, and for each word that it stands for what
+        patterns read: the words it may be and their classes."""
+        symbols = tuple(frozenset().union(r, *(self.lexicon.labels(x) for x in r)) for r in self._readings(w))
+        got = frozenset(k for s in symbols for n in s for k in self.by_telling.get(n, ())), symbols
+        if len(self.tokens) < 500_000:
+            self.tokens[w] = got
+        return got
+
+    def _readings(self, w: str) -> list[tuple[str, ...]]:
+        r = self.lexicon.read(w)
+        if r != (w,) or w in self.lexicon.known:
+            return [r]
+        if "'" in w:
+            return [self.lexicon.read(x) for x in w.split("'") if x]
+        if len(w) > 3 and (two := self.lexicon.halves(w)):
+            return [(x,) for x in two]
+        return [r]
 
     def _joined(self, m: re.Match) -> str:
         """A hyphened word without its hyphen if that is a word of the lexicon."""
         run = m.group().replace("-", "")
         return run if any(self.lexicon.labels(w) for w in self.lexicon.read(run)) else m.group()
 
-    def symbols(self, words: list[tuple[str, ...]]) -> list[frozenset[str]]:
-        """What the patterns read: the words and their classes."""
-        out = [frozenset().union(w, *(self.lexicon.labels(x) for x in w)) for w in words]
-        for k in range(len(out) - 1):
-            if "GADJ" in out[k] and "FOLK" in out[k + 1]:
-                out[k] |= {"GROUP"}
-                out[k + 1] |= {"GROUP"}
-        return out
-
     def clause(self, clause: str) -> list[tuple[str, float]]:
         """(kind, weight) of the best match of each kind in one plain clause."""
-        symbols = self.symbols(self.words(clause))
+        known, token = self.tokens.get, self.token
+        found = [known(w) or token(w) for w in WORD.findall(clause)]
+        telling = [f for f, _ in found if f]
+        if not telling:
+            return []
+        may = frozenset().union(*telling)
+        symbols = [s for _, own in found for s in own]
+        for k in range(len(symbols) - 1):
+            if "GADJ" in symbols[k] and "FOLK" in symbols[k + 1]:
+                symbols[k] |= {"GROUP"}
+                symbols[k + 1] |= {"GROUP"}
         best: dict[str, float] = {}
         for at, s in enumerate(symbols):
             for name in s:
-                for p in self.by_start.get(name, ()):
-                    if p.weight > best.get(p.kind, 0) and (end := p.run(symbols, at)) > 0:
+                for k in self.by_start.get(name, ()):
+                    if k in may and (p := self.patterns[k]).weight > best.get(p.kind, 0) and (end := p.run(symbols, at)) > 0:
                         best[p.kind] = max(best.get(p.kind, 0), p.weight * self._context(p, symbols, at, end))
         return [(k, w) for k, w in best.items() if w > 0]
 
@@ -484,7 +508,8 @@ class Grammar:
             return 0.0, ""
         miss, top, kind = 1.0, 0.0, ""
         seen: dict[str, list[tuple[str, float]]] = {}
-        for clause in CLAUSE.split(plain(text)):
+        text = SPACED.sub(lambda m: m.group().replace(m.group(1), ""), plain(text))
+        for clause in CLAUSE.split(HYPHENED.sub(self._joined, text)):
             if not clause:
                 continue
             if (got := seen.get(clause)) is None:
