@@ -81,7 +81,11 @@ LEXICON: dict[str, str] = {
         chapter policy rules studies discusses describes defines definition example examples called tolerated forbidden
         prohibited banned reported complaint beleidigungen hassrede insultos insultes begriff wort palabra mot
         education counselling""",
+    # what is done about such words
+    "RULING": """banned forbidden prohibited disallowed unacceptable violates violate violation breaches sanctioned moderated
+        verboten untersagt prohibido prohibida interdit interdite interdits""",
 }
+NEGATIONS = frozenset(LEXICON["NOT"].split())
 # What may stand before a noun without changing whom it names.
 FILL = "a an the this that these those such some so really very just only more most of to be is are und y et ein eine un une el la le les der die das los las"
 
@@ -383,6 +387,7 @@ class Automaton:
             state = new
         self.final = state
         self.needs = [frozenset(i.split("|")) for i in items if not i.startswith("..") and i[-1] not in "?*"]
+        self.negated = any("NOT" in names or names & NEGATIONS for names in self.needs)
         self.first = self._closure({0})
         self.starts = frozenset(n for s in self.first for names, _ in self.arcs[s] if names for n in names)
 
@@ -491,14 +496,18 @@ class Grammar:
 
     @staticmethod
     def _context(pattern: Automaton, symbols: list[frozenset[str]], at: int, end: int) -> float:
-        """What negation inside a match and talk about words around it leave of its weight."""
+        """What negation of a match and talk about words around it leave of its weight.
+
+        Negation stands inside a match or, of what someone does or asks for, right before it; patterns that
+        are themselves negated ("nobody wants ...") are left alone.  A rule or report on what is said
+        lowers every kind; words of teaching and quoting lower insults and explicit talk only, as
+        threats and hate are voiced in class and in quotes of one's own words, too."""
         factor = 1.0
-        if pattern.kind == "insult" and "NOT" not in symbols[at] and any("NOT" in symbols[k] for k in range(at + 1, end - 1)):
-            factor *= 0.3
-        if pattern.kind == "threat" and at and "NOT" in symbols[at - 1]:
+        doing = pattern.kind in ("threat", "sexual")
+        if not pattern.negated and "NOT" not in symbols[at] and any("NOT" in symbols[k] for k in range(max(0, at - 2) if doing else at + 1, end - 1)):
             factor *= 0.3
         around = [*range(max(0, at - NEAR), at), *range(end, min(len(symbols), end + NEAR))]
-        if pattern.kind in ("insult", "sexual") and any("SAYING" in symbols[k] for k in around):
+        if any("RULING" in symbols[k] for k in around) or (pattern.kind in ("insult", "sexual") and any("SAYING" in symbols[k] for k in around)):
             factor *= 0.3
         return factor
 

@@ -360,7 +360,8 @@ FINE = [
     "My stupid laptop crashed again.", "Bitch and stud are terms used by breeders.", "Kill the parent process first, then the hanging child dies.", "The lecture on violent crime covers murder and rape law.",
     "A bastard file and a cock valve are part of the kit.", "The art class draws nude models in charcoal.", "Refugees and immigrants are welcome to apply.", "Damn, that was a hard exam!", "You guys absolutely destroyed the project!",
     "Harassment, threats and insults are not tolerated.", "Der blöde Drucker streikt.", "La educación sexual forma parte del módulo.", "The seminar studies hate speech and slurs.", "Fuck, this printer is broken.", "That exam killed me.", "", None,
-    "We dissect a rat and a pig's heart.", "She is not an idiot.",
+    "We dissect a rat and a pig's heart.", "She is not an idiot.", "Posts saying that immigrants are vermin are banned.", "Immigrants are not vermin.", "I will not kill you.",
+    "Please do not send nude pictures.", "Messages such as I will break your jaw are forbidden here.", "Telling someone to kill yourself is prohibited in this forum.",
 ]
 
 
