@@ -15,8 +15,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 
 # Words that dress a skill up without naming another one.
 DRESSING = (
@@ -56,21 +58,68 @@ def split_humps(text: str) -> str:
     return re.sub(r"(?<=[^\W\d_])(?<=[a-zà-ÿ])(?=[A-Z])", " ", text)
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edits (insert, drop, change, swap of neighbours) from a to b, or most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
+class Edits:
+    """Edits (insert, drop, change, swap of neighbours) from one word to others, a column of the
+    table of distances at a time as the bits of two integers (Hyyro's bit-parallel alignment)."""
+
+    def __init__(self, word: str):
+        self.size, self.all = len(word), (1 << len(word)) - 1
+        self.at: dict[str, int] = {}
+        for k, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 1 << k
+
+    def to(self, other: str, most: int) -> int:
+        """The number of edits, or most + 1 if there are more."""
+        if abs(self.size - len(other)) > most:
             return most + 1
-    return row[-1]
+        if not self.size:
+            return len(other)
+        every, last, at = self.all, 1 << (self.size - 1), self.at
+        up, down, same, before, score = every, 0, 0, 0, self.size
+        for c in other:
+            here = at.get(c, 0)
+            swapped = ((~same & here) << 1) & before
+            same = ((((here & up) + up) ^ up) | here | down | swapped) & every
+            grows = down | (every & ~(same | up))
+            falls = same & up
+            if grows & last:
+                score += 1
+            elif falls & last:
+                score -= 1
+            grows, falls = (grows << 1 | 1) & every, (falls << 1) & every
+            up, down, before = falls | (every & ~(same | grows)), grows & same, here
+        return min(score, most + 1)
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """Edits from a to b, or most + 1 if there are more."""
+    return Edits(a).to(b, most)
+
+
+class Grams:
+    """Words by their pairs of letters: those of about the length of a given one that share at least so many with it."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words = sorted(words)
+        at: dict[str, list[int]] = defaultdict(list)
+        for k, w in enumerate(self.words):
+            for g in self.of(w):
+                at[g].append(k)
+        self.at = {g: np.array(v) for g, v in at.items()}
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+
+    @staticmethod
+    def of(word: str) -> set[str]:
+        w = f"^{word}$"
+        return {w[k : k + 2] for k in range(len(w) - 1)}
+
+    def sharing(self, word: str, most: int) -> list[str]:
+        """Words that may be within `most` edits: an edit touches three pairs at most."""
+        hits = [self.at[g] for g in self.of(word) if g in self.at]
+        if not hits:
+            return []
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.words)) >= max(1, len(word) + 1 - 3 * most)
+        return [self.words[k] for k in np.flatnonzero(shared & (np.abs(self.lengths - len(word)) <= most))]
 
 
 def allowed_edits(length: int) -> int:
@@ -126,23 +175,11 @@ class Mentions:
             self.words[i] = plain(n).split()
             for w in self.words[i]:
                 self.tokens[w].add(i)
-        self.grams: dict[str, set[str]] = defaultdict(set)
-        for w in self.tokens:
-            for g in self._grams(w):
-                self.grams[g].add(w)
-        self.by_length: dict[int, list[str]] = defaultdict(list)
+        self.grams = Grams(self.tokens)
         self.joined = {"".join(ws): i for i, ws in self.words.items()}
-        self.joined_grams: dict[str, set[str]] = defaultdict(set)
-        for j in self.joined:
-            for g in self._grams(j):
-                self.joined_grams[g].add(j)
+        self.joined_grams = Grams(self.joined)
         self.memo: dict[str, list[tuple[str, float]]] = {}
 
-    @staticmethod
-    def _grams(word: str) -> set[str]:
-        w = f"^{word}$"
-        return {w[k : k + 2] for k in range(len(w) - 1)}
-
     def look_alike(self, word: str) -> tuple[str, int] | None:
         """The word of the list that a word not in it would be taken for, and how many edits they are apart."""
         if word in self.tokens or word in DRESSING or not (near := self._near(word)):
@@ -207,14 +244,9 @@ class Mentions:
             return [(word, 1.0)]
         if word in self.own_words:
             return []
-        most = allowed_edits(len(word))
-        counts: dict[str, int] = defaultdict(int)
-        for g in self._grams(word):
-            for w in self.grams.get(g, ()):
-                counts[w] += 1
-        out = []
-        for w, c in counts.items():
-            if c >= max(1, len(word) + 1 - 3 * most) and (d := distance(word, w, most)) <= most:
+        most, edits, out = allowed_edits(len(word)), Edits(word), []
+        for w in self.grams.sharing(word, most):
+            if (d := edits.to(w, most)) <= most:
                 out.append((w, 1 - d / max(len(w), len(word)) + SAME_START * (w[0] == word[0])))
         out = [x for x in out if x[1] >= MIN_TOKEN_SIMILARITY]
         if len(self.memo) < 200_000:
@@ -242,12 +274,9 @@ class Mentions:
         run = "".join(words)
         if len(run) >= 6 and not all(w in self.tokens for w in words) and not any(w in self.own_words for w in words):
             most = 3 if len(run) > 11 else 2 if len(run) > 8 else 1
-            counts: dict[str, int] = defaultdict(int)
-            for g in self._grams(run):
-                for j in self.joined_grams.get(g, ()):
-                    counts[j] += 1
-            for j, c in counts.items():
-                if c >= len(run) + 1 - 3 * most and (d := distance(run, j, most)) <= most:
+            edits = Edits(run)
+            for j in self.joined_grams.sharing(run, most):
+                if (d := edits.to(j, most)) <= most:
                     found.append((1 - d / max(len(run), len(j)), -self.joined[j]))
         found = sorted(found, reverse=True)
         if found and found[0][0] >= MIN_SET_SIMILARITY:
