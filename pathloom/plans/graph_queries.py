@@ -11,7 +11,7 @@ from pathloom.functions.strings import record_code, strip
 from pathloom.plans import inputs as I
 from pathloom.plans.inputs import ITERATIONS, strip_sql, with_sql
 from pathloom.plans.registry import QUERIES, SQL, query
-from pathloom.runtime import bounded_rows, checkpoint_dir, cut
+from pathloom.runtime import bounded_rows, cut, fresh_folder
 from pathloom.sources import files, sinks
 from pathloom.sources.tables import table
 
@@ -233,17 +233,42 @@ def jn_courses_offering(s, d):
 
 @query(f"SELECT course_code, count(*) AS n FROM (SELECT upper({strip_sql('code')}) AS course_code FROM courses_skills WHERE code IS NOT NULL) GROUP BY 1")
 def src_timetable(s, d):
-    """Timetable rows with the original column names, cleaned and counted per code."""
-    raw = table(s, d, "courses_skills").select(F.upper("code").alias("Course Code"), F.col("name").alias("Course Title & Session"), F.col("units").alias("Units"))
-    return files.clean_timetable(raw).groupBy("course_code").agg(F.count(F.lit(1)).alias("n"))
+    """All offerings exported as timetable files (a title row, a header, CSV rows), read back and counted per code."""
+    path = fresh_folder(s, "src_timetable")
+    flat = [F.regexp_replace(F.col(c).cast("string"), r"[\r\n]+", " ") for c in ("code", "name", "units", "offering_unit")]
+    names = ("Course Code", "Course Title & Session", "Units", "Offering Unit")
+    line = F.to_csv(F.struct(*(c.alias(n) for c, n in zip(flat, names))), {"escape": '"'})
+    rows = table(s, d, "courses_skills").where("code is not null").select(F.pmod(F.xxhash64("code"), F.lit(64)).alias("part"), line.alias("line"))
+    files_ = rows.groupBy("part").agg(F.concat_ws("\n", F.lit("Timetable"), F.lit(",".join(names)), F.array_join(F.collect_list("line"), "\n")).alias("text"))
+    files_.write.partitionBy("part").text(path)
+    return files.read_timetable(s, f"{path}/*/*.txt").groupBy(F.upper("course_code").alias("course_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT job_id, nullif(title, '') AS title, '' AS description, normalized_salary, nullif(location, '') AS location, nullif(formatted_experience_level, '') AS formatted_experience_level, listed_time FROM jobs_canonical WHERE job_id IS NOT NULL")
+_POSTINGS = "SELECT job_id, nullif(title, '') AS title, '' AS description, normalized_salary, nullif(location, '') AS location, nullif(formatted_experience_level, '') AS formatted_experience_level, listed_time FROM jobs_canonical WHERE job_id IS NOT NULL"
+
+
+def _write_postings(s, d, path: str, header: bool) -> None:
+    jobs = table(s, d, "jobs_canonical").select("job_id", "title", F.lit(None).cast("string").alias("description"), "normalized_salary", "location", "formatted_experience_level", "listed_time")
+    jobs.write.mode("overwrite").option("header", header).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
+
+
+@query(_POSTINGS)
+def src_unzip(s, d):
+    """All postings as one CSV in an archive in the shared folder, extracted once (the second call
+    finds the member there) and read."""
+    path = fresh_folder(s, "src_unzip")
+    _write_postings(s, d, f"{path}/parts", header=False)
+    files.zip_member(s, f"{path}/parts", f"{path}/archive.zip", head=",".join(f.name for f in files.POSTING_SCHEMA.fields) + "\n")
+    first, again = (files.ensure_extracted(f"{path}/archive.zip", f"{path}/out", spark=s) for _ in range(2))
+    assert first == again
+    return files.read_postings(s, first)
+
+
+@query(_POSTINGS)
 def src_postings(s, d):
     """Postings written as CSV to the shared folder, read back by schema (empty fields are null), cleaned."""
-    path = f"{checkpoint_dir(s)}/src_postings"
-    jobs = table(s, d, "jobs_canonical").select("job_id", "title", F.lit(None).cast("string").alias("description"), "normalized_salary", "location", "formatted_experience_level", "listed_time")
-    jobs.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
+    path = fresh_folder(s, "src_postings")
+    _write_postings(s, d, path, header=True)
     raw = s.read.schema(files.POSTING_SCHEMA).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return files.clean_postings(raw)
 
@@ -257,39 +282,50 @@ def src_csv_p2(s, d):
 @query(with_sql("SELECT edge_type, count(*) AS n FROM edges GROUP BY 1"))
 def src_graph(s, d):
     """The graph written as two tables and read again."""
-    path = f"{checkpoint_dir(s)}/src_graph"
+    path = fresh_folder(s, "src_graph")
     sinks.write_graph(I.whole_graph(s, d), path)
     return sinks.read_graph(s, path).edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-snk_graph = query(with_sql("SELECT type, count(*) AS n FROM nodes GROUP BY 1"), "snk_graph")(
-    lambda s, d: (sinks.write_graph(I.whole_graph(s, d), f"{checkpoint_dir(s)}/snk_graph"), sinks.read_graph(s, f"{checkpoint_dir(s)}/snk_graph").nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")))[1]
-)
+@query(with_sql("SELECT type, count(*) AS n FROM nodes GROUP BY 1"))
+def snk_graph(s, d):
+    path = fresh_folder(s, "snk_graph")
+    sinks.write_graph(I.whole_graph(s, d), path)
+    return sinks.read_graph(s, path).nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 query(SQL["snk_graph"], "snk_pickle")(QUERIES["snk_graph"])  # the graph's file is a pair of Parquet tables here
 
 
-@query()
+_KEYS = "SELECT sha1(text) AS key, min(lang) AS lang FROM documents WHERE text IS NOT NULL GROUP BY 1"
+
+
+def _cached_texts(s, d):
+    return table(s, d, "documents").where("text is not null").groupBy(F.sha1("text").alias("key")).agg(F.array(F.min("lang")).alias("skills"))
+
+
+@query(_KEYS)
 def src_cache(s, d):
-    """A cache that is not there reads as an empty table."""
-    return files.read_cache(s, f"{checkpoint_dir(s)}/no-such-cache")
+    """A cache of every distinct text, read; one that is not there reads as an empty table."""
+    path = fresh_folder(s, "src_cache")
+    missing = files.read_cache(s, path)
+    sinks.flush_cache(s, _cached_texts(s, d), path)
+    return missing.unionByName(files.read_cache(s, path)).select("key", F.col("skills")[0].alias("lang"))
 
 
-@query()
+@query("SELECT count(DISTINCT text) AS n FROM documents")
 def snk_cache(s, d):
     """Distinct texts flushed to the cache table twice; the second time adds nothing."""
-    path = f"{checkpoint_dir(s)}/snk_cache"
-    new = table(s, d, "documents").where("text is not null").select(F.sha1("text").alias("key"), F.array("lang").alias("skills"))
+    path = fresh_folder(s, "snk_cache")
     for _ in range(2):
-        sinks.flush_cache(s, new, path)
+        sinks.flush_cache(s, _cached_texts(s, d), path)
     return files.read_cache(s, path).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT course_code, {_DED('a')} AS schedules FROM ({_ONE})")
 def snk_csv(s, d):
     """Offerings written as CSV with flattened lists and read back."""
-    path = f"{checkpoint_dir(s)}/snk_csv"
+    path = fresh_folder(s, "snk_csv")
     sinks.write_csv(sessions.collapse_sessions(_sessions(s, d)).select("course_code", "schedules"), path)
     return s.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select("course_code", F.coalesce("schedules", F.lit("")).alias("schedules"))
 
@@ -301,7 +337,7 @@ def snk_flatten(s, d):
 
 @query(with_sql("SELECT title, n_postings FROM careers"))
 def snk_json(s, d):
-    path = f"{checkpoint_dir(s)}/snk_json"
+    path = fresh_folder(s, "snk_json")
     sinks.write_json(graph.careers(I.jobs(s, d).where("title is not null")), path)
     return s.read.schema("title string, n_postings bigint").json(path)
 
@@ -309,7 +345,7 @@ def snk_json(s, d):
 @query("SELECT cluster_id, count(*) AS n FROM students_clustered GROUP BY 1")
 def snk_csv_p2(s, d):
     """Stage outputs (students with their cluster) written as CSV and read back."""
-    path = f"{checkpoint_dir(s)}/snk_csv_p2"
+    path = fresh_folder(s, "snk_csv_p2")
     sinks.write_csv(table(s, d, "students_clustered").select("student_id", "cluster_id"), path)
     return s.read.schema("student_id string, cluster_id int").option("header", True).csv(path).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 

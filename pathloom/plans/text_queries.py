@@ -12,7 +12,7 @@ from pathloom.operators.extract import extract_skills, keyword_extractor
 from pathloom.plans import inputs as I
 from pathloom.plans.inputs import split_sql, strip_sql, with_sql
 from pathloom.plans.registry import query
-from pathloom.runtime import bounded_rows
+from pathloom.runtime import bounded_rows, fresh_folder
 from pathloom.sources.tables import table
 
 # ---- text
@@ -376,10 +376,8 @@ def flt_year_level(s, d):
 
 def _catalog_files(s, d) -> str:
     """The catalogue text as one file per page in the shared folder."""
-    from pathloom.runtime import checkpoint_dir
-
-    path = f"{checkpoint_dir(s)}/catalog-pages"
-    _catalog_text(s, d).write.mode("overwrite").partitionBy("page").text(path)
+    path = fresh_folder(s, "catalog-pages")
+    _catalog_text(s, d).write.partitionBy("page").text(path)
     return path
 
 
@@ -413,21 +411,6 @@ def src_pdf_bytes(s, d):
     return join_pages(pages, "doc_id", "page", "t").select("doc_id", F.md5("text").alias("text"))
 
 
-@query()
-def src_unzip(s, d):
-    """A postings archive in the driver's folder, extracted once; the second call finds the member there."""
-    import tempfile
-    import zipfile
-
-    from pathloom.sources.files import ensure_extracted
-
-    with tempfile.TemporaryDirectory() as folder:
-        with zipfile.ZipFile(f"{folder}/a.zip", "w") as z:
-            z.writestr("postings.csv", "job_id,title\n1,A\n")
-        paths = [ensure_extracted(f"{folder}/a.zip", f"{folder}/out") for _ in range(2)]
-        return s.createDataFrame([(open(p).read(),) for p in paths], "content string")
-
-
 def _prompt_sql() -> str:
     from pathloom.operators.extract import EXTRACTION_PROMPT
 

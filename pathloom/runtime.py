@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, so that no other run's files are met."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder and forget how it was made."""
     checkpoint_dir(df.sparkSession)

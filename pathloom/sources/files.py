@@ -34,7 +34,8 @@ def clean_timetable(raw: DataFrame, columns: dict[str, str] = TIMETABLE_COLUMNS)
 def read_timetable(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:
     """Timetable exported as CSV: `skip` title rows, then the header.  (Spark has no source for .xls.)"""
     lines = spark.read.text(path, wholetext=True)
-    body = lines.select(F.explode(F.slice(F.split("value", r"\r?\n"), skip + 1, 1_000_000)).alias("line")).where("line <> ''")
+    rows = F.split("value", r"\r?\n")
+    body = lines.select(F.explode(F.slice(rows, F.lit(skip + 1), F.size(rows))).alias("line")).where("line <> ''")
     header = body.first()[0]
     names = next(__import__("csv").reader([header]))
     rows = body.where(F.col("line") != header)
@@ -54,8 +55,12 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return clean_postings(head.select(*kept))
 
 
-def ensure_extracted(archive: str, folder: str, member: str = "postings.csv") -> str:
-    """Path of an archive's member, extracted unless it is there."""
+def ensure_extracted(archive: str, folder: str, member: str = "postings.csv", spark: SparkSession | None = None) -> str:
+    """Path of an archive's member, extracted unless it is there.  With a session given, archive and
+    folder may lie in any file system that Spark reaches, such as the cluster's shared folder; the
+    member's bytes are streamed, never held."""
+    if spark is not None:
+        return _extracted_there(spark, archive, folder, member)
     target = os.path.join(folder, member)
     if not os.path.exists(target):
         os.makedirs(folder, exist_ok=True)
@@ -64,6 +69,46 @@ def ensure_extracted(archive: str, folder: str, member: str = "postings.csv") ->
     return target
 
 
+def _extracted_there(spark: SparkSession, archive: str, folder: str, member: str) -> str:
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    target, part = path(f"{folder}/{member}"), path(f"{folder}/.{member}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        source = path(archive)
+        zipped = jvm.java.util.zip.ZipInputStream(source.getFileSystem(spark._jsc.hadoopConfiguration()).open(source))
+        try:
+            while (entry := zipped.getNextEntry()) is not None and entry.getName() != member:
+                pass
+            if entry is None:
+                raise KeyError(f"{archive} has no member {member}")
+            out = fs.create(part, True)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(zipped, out, 65536, False)
+            out.close()
+        finally:
+            zipped.close()
+        fs.rename(part, target)  # readers see all of it or none
+    return target.toString()
+
+
+def zip_member(spark: SparkSession, parts: str, archive: str, member: str = "postings.csv", head: str = "") -> None:
+    """An archive of one member: `head`, then the files of a folder in the order of their names, streamed."""
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(parts)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = jvm.java.util.zip.ZipOutputStream(fs.create(path(archive), True))
+    try:
+        out.putNextEntry(jvm.java.util.zip.ZipEntry(member))
+        out.write(bytearray(head.encode()))
+        for status in sorted(fs.listStatus(folder), key=lambda x: x.getPath().getName()):
+            if not status.getPath().getName().startswith(("_", ".")):
+                data = fs.open(status.getPath())
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 65536, False)
+                data.close()
+        out.closeEntry()
+    finally:
+        out.close()
+
+
 def read_documents_text(spark: SparkSession, path: str, extract: Callable[[bytes], str] | None = None) -> DataFrame:
     """path, text of files.  Without `extract` files are UTF-8 text; with it (say, a PDF library's
     function) each file's bytes are handed over in an Arrow batch."""
