@@ -31,7 +31,7 @@ MOST_TERMS, MOST_KEYS = 3, 64  # of a key; of one set for one number of terms, a
 SIZES = 1024  # pairs with a larger set take one term a key
 ROWS_AT_ONCE = 250_000  # key rows in a batch
 SAMPLE, SAMPLE_TERMS = 2048, 1024  # sets drawn to weigh keys against candidates, and their largest size
-KEY_COST = 16  # a key row against a candidate pair: one is shuffled and sorted, the other compared
+KEY_COST = 6  # a key row against a candidate pair: one is shuffled and sorted, the other compared
 
 
 def term_ranks(*sides: DataFrame, key: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -203,6 +203,10 @@ def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float, *, below:
     sets = sets or (left, right)
     most_terms = most_terms or choose_key_terms(*sets, threshold)
     own = ["cls", "size", *MASKS]
+    if below:  # pairs are the work, however little room the sets take: not left to the few tasks that hold them
+        spark = left.sparkSession
+        spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        left = left.repartition(spread, F.xxhash64("cls"))
     l = rare_keys(left, threshold, most_terms).select("key", *(F.col(c).alias(f"l_{c}") for c in own))
     r = rare_keys(right, threshold, most_terms).select("key", *(F.col(c).alias(f"r_{c}") for c in own))
     near = may_be_similar(threshold)
