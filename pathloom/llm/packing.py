@@ -2,12 +2,12 @@
 
 Lengths are counted in units of capacity / `window` (rounded up, so a container never overflows),
 which bounds the histogram by the window whatever the number of items.  All combinations of at
-most three lengths that fill the window exactly are enumerated; non-negative least squares finds
-how often each should be used to use up the histogram; the counts are rounded down to what is
-there, and what remains is packed greedily, largest lengths first, whole patterns at a time.  All
-of this happens on the histogram.  Items then get their rank within their length and look up the
-container that the plan gives to that rank, so no task holds a length's items and none are
-collected.
+most three lengths that fill the window exactly are enumerated; non-negative least squares, run until
+it is shown to be settled, finds how often each should be used to use up the histogram; the counts are
+rounded down to what is there, and what remains is packed greedily, largest lengths first, whole
+patterns at a time.  All of this happens on the histogram.  Items then get their rank within their
+length and look up the container that the plan gives to that rank, so no task holds a length's items
+and none are collected.
 
 Defined results: an item larger than the capacity is cut into pieces of the capacity and a rest;
 no other item is cut; an item of no size takes one unit; an empty table gives no rows; items of
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pathloom.runtime import split_group_rank
 
 WINDOW = 4096
-MANY = 100_000  # combinations, above which least squares takes fewer rounds
+CLOSE = 1e-4  # how far least squares may stay above its minimum, as a share of what it has where nothing is used
 PIECES = 64
 
 
@@ -47,36 +47,48 @@ def combinations(present: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int32) if out else np.zeros((0, 3), np.int32)
 
 
-def repeat_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int | None = None) -> np.ndarray:
+def repeat_counts(combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     """Non-negative x that brings sum(x * combination) close to the histogram: accelerated projected
-    gradient.  Left-over long items cost more than short ones, as they are harder to place."""
+    gradient, with a step for each combination.  Left-over long items cost more than short ones, as they
+    are harder to place.  It ends where a lower bound of the minimum shows that x is within CLOSE of it,
+    however many combinations there are and however many rounds that takes."""
     size = len(histogram)
     if not len(combos):
         return np.zeros(0)
-    rounds = rounds or (400 if len(combos) <= MANY else 100)
-    weight = (np.arange(size) / (size - 1)) + 0.05
+    share = np.arange(size) / (size - 1)
+    weight = (share + 0.05) ** 2
     weight[0] = 0.0
+    columns = [np.ascontiguousarray(combos[:, k], dtype=np.intp) for k in range(3)]
 
     def used(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(combos[:, k], x, minlength=size) for k in range(3))
+        return sum(np.bincount(c, x, minlength=size) for c in columns)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return r[combos[:, 0]] + r[combos[:, 1]] + r[combos[:, 2]]
-
-    v = np.ones(len(combos))
-    for _ in range(30):  # the largest eigenvalue sets the step
-        v = back(weight**2 * used(v))
-        top = np.linalg.norm(v)
-        v /= top
-    target = histogram.astype(float).copy()
+        return r[columns[0]] + r[columns[1]] + r[columns[2]]
+
+    target = histogram.astype(float)
     target[0] = 0
+    unused = weight @ target**2 / 2
+    step = 1 / back(weight * used(np.ones(len(combos))))  # row sums of a non-negative matrix bound it from above
+
+    def settled(x: np.ndarray) -> bool:
+        left = target - used(x)
+        # any price with no combination above 0 bounds the minimum; the shares of a combination sum to 1
+        price = weight * left
+        price = price - max(back(price).max(), 0.0) * share
+        bound = price @ target - (price[1:] ** 2 / weight[1:]).sum() / 2
+        return weight @ left**2 / 2 - bound <= CLOSE * unused
+
     x = y = np.zeros(len(combos))
-    t = 1.0
-    for _ in range(rounds):
-        nxt = np.maximum(y - back(weight**2 * (used(y) - target)) / (1.05 * top), 0)
+    t, done = 1.0, 0
+    while done % 10 or not settled(x):  # looking costs a round, so every tenth
+        slope = back(weight * (used(y) - target))
+        nxt = np.maximum(y - step * slope, 0)
+        if slope @ (nxt - x) > 0:  # uphill: begin the acceleration anew
+            t = 1.0
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = nxt + (t - 1) / t_next * (nxt - x)
-        x, t = nxt, t_next
+        x, t, done = nxt, t_next, done + 1
     return x
 
 

@@ -323,6 +323,25 @@ def test_plan_uses_everything():
         assert (used == h).all()
 
 
+@pytest.mark.parametrize("window, lengths, few", [(64, 40, True), (2048, 1400, False)])
+def test_repeat_counts_settle(window, lengths, few):
+    """A histogram that combinations use up is used up but for 1 %, however many combinations there are."""
+    rng = np.random.default_rng(3)
+    combos = packing.combinations(np.sort(rng.choice(np.arange(1, window + 1), lengths, replace=False)), window)
+    assert few == (len(combos) <= 100_000)
+    repeats = rng.pareto(0.7, len(combos)).astype(np.int64)
+    weight = np.arange(window + 1) / window + 0.05
+    weight[0] = 0
+
+    def used(x):
+        return sum(np.bincount(combos[:, k], x, minlength=window + 1) for k in range(3))
+
+    h = used(repeats).astype(np.int64)
+    h[0] = 0
+    x = packing.repeat_counts(combos, h)
+    assert (x >= 0).all() and np.linalg.norm(weight * (used(x) - h)) <= 0.01 * np.linalg.norm(weight * h)
+
+
 # ---- 9
 
 
