@@ -113,6 +113,21 @@ def test_clusters(spark, approximate):
     assert sorted(by) == list(range(len(by)))
 
 
+def test_joins_by_name_make_no_shingles(spark):
+    """The test for empty keys is repeated on both sides of a join by name, so it must not hold the shingles."""
+    names = spark.createDataFrame([("Welding", 1), ("weldings", 2), ("--", 3), (None, 4), ("ä", 5), ("é c", 6)], "name string, ord int")
+    given = resolve.cut(resolve.shingled(names))
+    assert {r["name"]: len(r["sh"]) for r in given.collect()} == {"Welding": 5, "weldings": 6, "é c": 1}
+    other = spark.createDataFrame([("Welding",)], "y string")
+    plan = other.join(given.select("name"), F.col("y") == F.col("name"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "regexp_replace" not in plan
+
+
+def test_shingles_work_out_the_text_once(spark):
+    plan = spark.createDataFrame([("x",)], "name string").select(skills.shingles(skills.name_key("name")).alias("sh"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9+#\\s]") == 1
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(n - 1)], "a string, b string")
