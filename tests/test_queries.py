@@ -69,7 +69,7 @@ def test_no_python_rows_and_no_cartesian_product(spark, small, name):
     assert "BatchEvalPython" not in text and "CartesianProduct" not in text
 
 
-@pytest.mark.parametrize("name", ["er_cluster_ids", "agg_sum_freq"])
+@pytest.mark.parametrize("name", ["er_cluster_ids", "agg_sum_freq", "er_canonical_taxonomy"])
 def test_clusters_are_joined_without_shingles(spark, small, name):
     """The last joins, by name, do not make shingles to tell names without any."""
     assert not re.search(r"transform\(|substr\(", QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString())
