@@ -128,6 +128,22 @@ def test_shingles_work_out_the_text_once(spark):
     assert plan.count("[^a-z0-9+#\\s]") == 1
 
 
+def test_minhash_has_a_function_of_its_own_per_seed(spark):
+    """Signatures are the minima of Spark's hashes under 128 different seeds; candidates agree on all of a band."""
+    names = spark.createDataFrame([("welding", 1), ("weldings", 2), ("welding of pipes", 3), ("pipe welding", 4), ("c", 5), ("rust proofing", 6), ("rust proof", 7)], "name string, ord int")
+    given = resolve.shingled(names)
+    hashes = given.select("name", F.explode("sh").alias("x")).select("name", *(F.xxhash64("x", F.lit(42000 + i)).alias(f"h{i}") for i in range(128)))
+    want = {r["name"]: list(r)[1:] for r in hashes.groupBy("name").agg(*(F.min(f"h{i}") for i in range(128))).collect()}
+    assert len(set(want["weldings"])) == 128
+    signed = resolve.minhash(given)
+    assert {r["name"]: r["signature"] for r in signed.collect()} == want
+    near = {(a, b) for a in want for b in want if a < b and any(want[a][i : i + 4] == want[b][i : i + 4] for i in range(0, 128, 4))}
+    got = [tuple(r) for r in resolve.lsh_candidates(signed.unionAll(signed)).collect()]
+    assert len(got) == len(set(got)) and set(got) == near and ("welding", "weldings") in near
+    none = resolve.minhash(spark.createDataFrame([("x", []), ("y", ["abc"])], "name string, sh array<string>"), num_perm=2)
+    assert {r["name"]: r["signature"][0] is None for r in none.collect()} == {"x": True, "y": False}
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(n - 1)], "a string, b string")
