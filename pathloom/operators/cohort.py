@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.functions.skills import year_level
+from pathloom.operators.overlap import mixed
+
+DRAWN_AT_ONCE = 4_000_000  # places in a table of draws
 
 
 def skill_matrix(students: DataFrame, courses: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -74,27 +84,93 @@ def _uniform(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
+def draw_places(keys: np.ndarray, wanted: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): for each row `wanted` distinct places below `of`, every such set as likely as another.
+
+    Floyd's way: the s-th of k draws is among the first of - k + s + 1 places, or that last place if it
+    was drawn before.  Draws are hashes of the row's key, so work and room follow what is drawn."""
+    rows, places = [], []
+    whole = wanted >= of
+    for i in np.flatnonzero(whole & (of > 0)).tolist():
+        rows.append(np.full(of[i], i))
+        places.append(np.arange(of[i]))
+    todo = np.flatnonzero(~whole & (wanted > 0))
+    todo = todo[np.argsort(wanted[todo], kind="stable")]
+    begin = 0
+    while begin < len(todo):
+        end = len(todo)
+        while end - begin > 1 and (end - begin) * int(wanted[todo[end - 1]]) > DRAWN_AT_ONCE:
+            end = begin + (end - begin) // 2
+        at = todo[begin:end]
+        k, m, key = wanted[at], of[at], keys[at]
+        taken = np.full((len(at), int(k[-1])), -1, np.int64)
+        for s in range(taken.shape[1]):
+            on = np.searchsorted(k, s, side="right")  # rows that have not drawn enough
+            last = (m - k + s)[on:]
+            drawn = (mixed(key[on:] + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)) % (last + 1).astype(np.uint64)).astype(np.int64)
+            again = (taken[on:, :s] == drawn[:, None]).any(axis=1)
+            taken[on:, s] = np.where(again, last, drawn)
+        r, c = np.nonzero(taken >= 0)
+        rows.append(at[r])
+        places.append(taken[r, c])
+        begin = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *places])
+
+
 def sample_courses(students: DataFrame, courses: DataFrame, *, seed: int = 42, per_year: float = 7, spread: float = 2, own_share: float = 0.7) -> DataFrame:
     """student_id, completed_courses: courses up to the student's year, 70 % of the own major, a normal
-    number of them; a shortfall elsewhere is filled from the major.
+    number of them; a shortfall elsewhere is filled from the major.  No major or no year gives no courses.
 
-    Courses join students by level and are ranked per student by hash; a student sees the catalogue,
-    which is bounded, once."""
+    Every task gets the codes, a few bytes a course.  Sorted, those of a major are one range, so a student
+    costs what is drawn, not a look at the whole catalogue."""
     gauss = F.sqrt(-2 * F.log(F.greatest(_uniform("student_id", F.lit(seed)), F.lit(1e-9)))) * F.cos(2 * 3.141592653589793 * _uniform("student_id", F.lit(seed + 1)))
-    want = students.select("student_id", "major_prefix", "year", F.greatest(F.lit(0), F.floor(per_year * F.col("year") + spread * gauss)).cast("int").alias("n"))
-    levels = courses.where("code is not null").select("code", year_level("code").alias("level"))
-    rows = want.join(F.broadcast(levels), F.col("level") <= F.col("year"))
-    rows = rows.withColumn("own", F.col("code").startswith(F.col("major_prefix")))
-    per = Window.partitionBy("student_id", "own")
-    rows = rows.withColumn("k", F.row_number().over(per.orderBy(F.xxhash64("student_id", "code", F.lit(seed)))))
-    whole = Window.partitionBy("student_id")
-    rows = rows.withColumns({"n_own": F.count_if("own").over(whole), "n_other": F.count_if(~F.col("own")).over(whole)})
-    own = F.least("n_own", F.floor(F.col("n") * own_share).cast("int"))
-    other = F.least(F.col("n_other"), F.col("n") - own)
-    fill = F.least(F.col("n_own") - own, F.col("n") - own - other)
-    kept = rows.where(F.when(F.col("own"), F.col("k") <= own + fill).otherwise(F.col("k") <= other))
-    lists = kept.groupBy("student_id").agg(F.array_sort(F.collect_list("code")).alias("completed_courses"))
-    return students.select("student_id").join(lists, "student_id", "left").select("student_id", F.coalesce("completed_courses", F.array().cast("array<string>")).alias("completed_courses"))
+    n = F.greatest(F.lit(0), F.floor(per_year * F.col("year") + spread * gauss))
+    want = students.select("student_id", F.col("major_prefix").cast("string").alias("major"), F.col("year").cast("bigint").alias("year"), n.alias("n"), F.xxhash64("student_id", F.lit(seed)).alias("key"))
+    listed = courses.where("code is not null").select("code", year_level("code").alias("level")).toPandas()
+    order = sorted(range(len(listed)), key=listed["code"].tolist().__getitem__)
+    catalogue = students.sparkSession.sparkContext.broadcast((listed["code"].to_numpy()[order].tolist(), listed["level"].to_numpy(np.int64)[order]))
+    schema = T.StructType([students.schema["student_id"], T.StructField("completed_courses", T.ArrayType(T.StringType()))])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, levels = catalogue.value
+        texts = pa.array(codes, pa.string())
+        open_to = {}  # by the highest level up to the year: places of the courses, and their codes
+        steps = np.unique(levels)
+        for batch in batches:
+            rows = batch.num_rows
+            majors, years = batch.column("major").to_pylist(), batch.column("year").to_pylist()
+            n = pc.fill_null(batch.column("n"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = mixed(batch.column("key").to_numpy().view(np.uint64))
+            pools, low, high, size = [], *np.zeros((3, rows), np.int64)
+            ranges: dict[tuple, tuple[int, int]] = {}
+            for i, (major, year) in enumerate(zip(majors, years)):
+                top = 0 if major is None or year is None else int(np.searchsorted(steps, year, side="right"))
+                if top not in open_to:
+                    at = np.flatnonzero(levels < steps[top]) if top < len(steps) else np.arange(len(codes))
+                    open_to[top] = at, [codes[x] for x in at.tolist()]
+                at, own = open_to[top]
+                if (top, major) not in ranges:
+                    ranges[top, major] = (0, 0) if major is None else (bisect_left(own, major), bisect_left(own, major + chr(0x10FFFF)))
+                pools.append(top)
+                (low[i], high[i]), size[i] = ranges[top, major], len(at)
+            n_own, n_other = high - low, size - (high - low)
+            own = np.minimum(n_own, np.floor(n * own_share).astype(np.int64))
+            other = np.minimum(n_other, n - own)
+            fill = np.minimum(n_own - own, n - own - other)
+            r1, p1 = draw_places(key, own + fill, n_own)
+            r2, p2 = draw_places(mixed(key), other, n_other)
+            p1, p2 = p1 + low[r1], p2 + np.where(p2 >= low[r2], (high - low)[r2], 0)
+            row, place = np.concatenate([r1, r2]), np.concatenate([p1, p2])
+            pool = np.array(pools, np.int64)
+            for top in np.unique(pool).tolist():
+                here = np.flatnonzero(pool[row] == top)
+                place[here] = open_to[top][0][place[here]]
+            place = place[np.lexsort((place, row))]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("student_id"), pa.ListArray.from_arrays(pa.array(offsets), texts.take(pa.array(place)))], names=schema.names)
+
+    return want.mapInArrow(draw, schema)
 
 
 def pick_goal(key: Column, careers: list[str], seed: int = 42) -> Column:

@@ -383,3 +383,28 @@ def test_terms_read_alike_are_one(spark):
     rows = spark.createDataFrame([(1, "A b"), (1, "a B"), (2, "c")], "rec int, val string")
     got = {r["rec"]: len(r["terms"]) for r in encoded(rows, term_ranks(rows, key=F.lower), "rec").collect()}
     assert got == {1: 1, 2: 1}
+
+
+def test_courses_are_drawn_without_a_look_at_the_whole_catalogue(spark):
+    """Counts are those of year and major, all courses of a kind are as likely, and no student meets every course."""
+    courses = spark.createDataFrame([(f"{m}{y}{i:03d}",) for m in ("AB", "ABC", "X") for y in (1, 2, 3) for i in range(10)] + [(None,), ("X0001",)], "code string")
+    students = spark.range(3000).selectExpr("format_string('s%05d', id) student_id", "'AB' major_prefix", "2 year").unionAll(spark.sql("select 'none', null, 2 union all select 'new', 'X', null union all select 'far', 'Z', 900 union all select 'pre', 'X', 0"))
+    drawn = cohort.sample_courses(students, courses)
+    assert "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
+    got = {r[0]: r[1] for r in drawn.collect()}
+    assert len(got) == 3004 and got["none"] == got["new"] == got["pre"] == []
+    assert got["far"] == sorted(r[0] for r in courses.where("code is not null").collect())
+    rows = [v for k, v in got.items() if k[0] == "s"]
+    assert all(v == sorted(set(v)) and all(c.lstrip("ABCX")[0] in "12" for c in v) for v in rows)
+    assert all(sum(c.startswith("AB") for c in v) == math.floor(len(v) * 0.7) for v in rows)  # ABC counts as AB, too
+    assert {len(v) for v in rows} > {12, 13, 14, 15}
+    for prefix, n in (("AB", 40), ("X", 20)):
+        times = [sum(c in v for v in rows) for c in {c for v in rows for c in v if c.startswith(prefix)}]
+        mean = sum(times) / n
+        assert len(times) == n and max(abs(x - mean) for x in times) < 5 * math.sqrt(mean)
+
+
+def test_drawn_places_are_sets_of_equal_chance():
+    row, place = cohort.draw_places(np.arange(60_000, dtype=np.uint64) * np.uint64(2**33) + np.uint64(5), np.full(60_000, 2), np.full(60_000, 4))
+    pairs = np.bincount((1 << place).reshape(-1, 2).sum(axis=1), minlength=16) if (np.diff(row.reshape(-1, 2)) == 0).all() else []
+    assert np.flatnonzero(pairs).tolist() == [3, 5, 6, 9, 10, 12] and max(abs(pairs[pairs > 0] - 10_000)) < 500
