@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.functions.skills import year_level
 from pathloom.operators.overlap import mixed
+from pathloom.runtime import cut
 
 DRAWN_AT_ONCE = 4_000_000  # places in a table of draws
 
@@ -58,15 +59,33 @@ def describe_clusters(matrix: DataFrame, labels: DataFrame, *, top_n: int = 8) -
     return strength.join(top, "cluster_id")
 
 
+def sparse_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """student_id, features of rows with at, a list of (i, w) ascending by i; null is the zero vector."""
+    schema = T.StructType([rows.schema["student_id"], T.StructField("features", VectorUDT())])
+    kind = pa.struct([pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", pa.list_(pa.int32())), pa.field("values", pa.list_(pa.float64()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column("at")
+            offsets = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32))
+            i, w = lists.flatten().flatten()
+            columns = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(offsets, i.cast(pa.int32())), pa.ListArray.from_arrays(offsets, w)]
+            yield pa.RecordBatch.from_arrays([batch.column("student_id"), pa.StructArray.from_arrays(columns, fields=list(kind))], names=schema.names)
+
+    return rows.select("student_id", "at").mapInArrow(pack, schema)
+
+
 def kmeans(matrix: DataFrame, students: DataFrame, vocabulary: list[str], *, k: int = 8, seed: int = 42, tries: int = 10) -> DataFrame:
     """student_id, cluster_id of the cheapest of `tries` runs; students without skills are zero vectors.
 
-    The vocabulary orders the dimensions and must be bounded (it is a list)."""
-    at = F.create_map(*(F.lit(x) for i, s in enumerate(vocabulary) for x in (s, i)))
-    grouped = matrix.groupBy("student_id").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(at, F.col("skill")).alias("i"), "w"))).alias("m"))
-    full = students.select("student_id").distinct().join(grouped, "student_id", "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    data = full.select("student_id", array_to_vector(dense).alias("features")).persist()
+    The vocabulary orders the dimensions and must be bounded (it is a list).  Vectors are sparse and
+    written once, over all tasks; each run keeps them as they are for its rounds."""
+    spark = matrix.sparkSession
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(vocabulary)), "i int, skill string"))  # bounded
+    at = matrix.join(numbers, "skill").groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("at"))
+    full = students.select("student_id").distinct().join(at, "student_id", "left")
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    data = cut(sparse_vectors(full.repartition(spread, "student_id"), len(vocabulary)))
     best, cost = None, None
     for t in range(tries):
         model = KMeans(k=k, seed=seed + t, maxIter=50).fit(data)

@@ -408,3 +408,15 @@ def test_drawn_places_are_sets_of_equal_chance():
     row, place = cohort.draw_places(np.arange(60_000, dtype=np.uint64) * np.uint64(2**33) + np.uint64(5), np.full(60_000, 2), np.full(60_000, 4))
     pairs = np.bincount((1 << place).reshape(-1, 2).sum(axis=1), minlength=16) if (np.diff(row.reshape(-1, 2)) == 0).all() else []
     assert np.flatnonzero(pairs).tolist() == [3, 5, 6, 9, 10, 12] and max(abs(pairs[pairs > 0] - 10_000)) < 500
+
+
+def test_kmeans_runs_on_sparse_vectors_over_all_tasks(spark, monkeypatch):
+    seen, fit = [], cohort.KMeans.fit
+    monkeypatch.setattr(cohort.KMeans, "fit", lambda self, data: seen.append(data) or fit(self, data))
+    m = spark.createDataFrame([("s1", "y", 0.6), ("s1", "x", 0.8), ("s2", "x", 1.0), ("s3", "z", 1.0)], "student_id string, skill string, w double")
+    students = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("none",), ("s3",)], "student_id string")
+    got = {r["student_id"]: r["cluster_id"] for r in cohort.kmeans(m, students, ["x", "y", "z"], k=3, tries=3).collect()}
+    assert set(got) == {"s1", "s2", "s3", "none"} and got["s1"] == got["s2"] and len(set(got.values())) == 3
+    vectors = {r["student_id"]: r["features"] for r in seen[0].collect()}
+    assert {k: (v.size, v.indices.tolist(), v.values.tolist()) for k, v in vectors.items()} == {"s1": (3, [0, 1], [0.8, 0.6]), "s2": (3, [0], [1.0]), "s3": (3, [2], [1.0]), "none": (3, [], [])}
+    assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
